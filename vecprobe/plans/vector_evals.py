@@ -46,10 +46,10 @@ pr AS ({Q.perm_ranks(n_perm, seed, 'act')}),
 pl AS (SELECT pr.perm, pr.id, lab.doc AS plab FROM pr JOIN lab ON pr.src_idx = lab.idx),
 pb AS (SELECT nn.id, pl.perm, min(pl.plab) AS bl
        FROM act_nn nn JOIN pl ON pl.id = nn.nn_id GROUP BY nn.id, pl.perm),
-ph AS (SELECT pl.perm, sum(coalesce(pb.bl = pl.plab, false)::INTEGER) AS hits
+ph AS (SELECT pl.perm, sum(coalesce(pb.bl = pl.plab, false)::INTEGER)::BIGINT AS hits
        FROM pl LEFT JOIN pb ON pb.id = pl.id AND pb.perm = pl.perm GROUP BY pl.perm)
 SELECT round(o.doc_top1, 6) AS doc_top1, o.hits, o.n, o.n_docs, round(o.chance, 6) AS chance,
-       round((count_if(ph.hits >= o.hits) + 1)::DOUBLE / ({n_perm} + 1), 6) AS p_value,
+       round((count_if(ph.hits >= o.hits)::BIGINT + 1)::DOUBLE / ({n_perm} + 1), 6) AS p_value,
        round((o.doc_top1 - avg(ph.hits::DOUBLE / o.n)) / (stddev_pop(ph.hits::DOUBLE / o.n) + 1e-12), 6) AS z
 FROM act_obs o, ph GROUP BY o.doc_top1, o.hits, o.n, o.n_docs, o.chance"""
 
@@ -72,7 +72,7 @@ ph AS (SELECT pr.perm,
               sum(coalesce(src.best_doc = me.doc AND me.doc_rows > 1, false)::INTEGER) AS hits
        FROM pr JOIN rw src ON pr.src_idx = src.idx JOIN rw me ON me.id = pr.id GROUP BY pr.perm)
 SELECT round(o.doc_top1, 6) AS doc_top1, o.hits, o.n, o.n_docs, round(o.chance, 6) AS chance,
-       round((count_if(ph.hits >= o.hits) + 1)::DOUBLE / ({n_perm} + 1), 6) AS p_value,
+       round((count_if(ph.hits >= o.hits)::BIGINT + 1)::DOUBLE / ({n_perm} + 1), 6) AS p_value,
        round((o.doc_top1 - avg(ph.hits::DOUBLE / o.n)) / (stddev_pop(ph.hits::DOUBLE / o.n) + 1e-12), 6) AS z
 FROM act_obs o, ph GROUP BY o.doc_top1, o.hits, o.n, o.n_docs, o.chance"""
 
