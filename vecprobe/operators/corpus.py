@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import hash_key
 from ..functions.text import py_strip
-from .indexing import dense_index
+from .indexing import dense_index, hex_bucket
 
 
 def text_presence(df: DataFrame, text_col: str, group_cols=()) -> DataFrame:
@@ -97,7 +97,7 @@ def cap_domain_share(df: DataFrame, domain_col: str, domain: str, share: float,
     holding most rows is never gathered in one task."""
     n_other = df.filter(F.col(domain_col) != domain).agg(F.count(F.lit(1)).alias("_no"))
     hot = df.filter(F.col(domain_col) == domain).withColumn("_h", hash_key(F.lit(seed), F.col(key_col)))
-    ranked = dense_index(hot, ["_h", key_col], [], "_rank")
+    ranked = dense_index(hot, ["_h", key_col], [], "_rank", hex_bucket("_h", 64))
     cap = n_other.select(F.floor(F.col("_no") * F.lit(share / (1.0 - share))).alias("_cap"))
     kept = (ranked.withColumn("_one", F.lit(1))
             .join(F.broadcast(cap.withColumn("_one", F.lit(1))), "_one")

@@ -1,40 +1,59 @@
 """Dense 0-based row index without a single-partition window.
 
-Global range-partitioned sort, then the local position inside each sorted
-partition plus a per-(partition, group) offset. Only the offsets table
-(partitions x groups, tiny) is aggregated; the rows never meet in one task."""
+Rows are cut into order-preserving buckets (a monotone function of the sort
+key, e.g. the leading hex digits of an md5 key or a slice of the id range);
+per-bucket counts give each bucket's offset (a table of groups x buckets),
+and a window *inside* each bucket gives the local rank. Every step is a pure
+function of the data, so re-running a lost task reproduces the same index."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def dense_index(df: DataFrame, order_cols, group_cols=(), name: str = "idx") -> DataFrame:
-    """Add ``name`` = 0-based rank of each row inside its group by ``order_cols``.
-
-    ``order_cols`` must give a total order inside each group (ties would make
-    the index depend on the run)."""
-    group_cols = list(group_cols)
-    order_cols = list(order_cols)
-    s = (df.repartitionByRange(*[F.col(c) for c in group_cols + order_cols])
-           .sortWithinPartitions(*(group_cols + order_cols))
-           .withColumn("_mid", F.monotonically_increasing_id()))
-    s = (s.withColumn("_pid", F.shiftright("_mid", 33))
-          .withColumn("_loc", F.col("_mid") - F.shiftleft(F.col("_pid"), 33)))
-    cnt = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"),
-                                             F.min("_loc").alias("_lmin"))
-    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1) if group_cols else \
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = s.join(off.select("_pid", *group_cols, "_off", "_lmin"), ["_pid", *group_cols])
-    return out.withColumn(name, F.col("_loc") - F.col("_lmin") + F.col("_off")).drop(
-        "_mid", "_pid", "_loc", "_off", "_lmin")
-
-
-def window_index(df: DataFrame, order_cols, group_cols=(), name: str = "idx") -> DataFrame:
-    """Same result through a window partitioned by the group: one task per
-    group. Use only when groups are known to be small (e.g. eval sets)."""
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols) if group_cols else Window.orderBy(*order_cols)
-    return df.withColumn(name, F.row_number().over(w) - 1)
+ROWS_PER_BUCKET = 200_000
+
+
+def hex_bucket(hex_col, n_buckets: int) -> Column:
+    """Monotone bucket of an md5 hex key: leading 6 hex digits scaled to n."""
+    c = F.col(hex_col) if isinstance(hex_col, str) else hex_col
+    lead = F.conv(F.substring(c, 1, 6), 16, 10).cast("bigint")
+    return (lead * F.lit(n_buckets) / F.lit(16 ** 6)).cast("int")
+
+
+def dense_index(df: DataFrame, order_cols, group_cols=(), name: str = "idx",
+                bucket: Column | None = None) -> DataFrame:
+    """Add ``name`` = 0-based rank inside the group by ``order_cols``.
+
+    ``bucket`` must be non-decreasing in the order; None means one bucket per
+    group (use for groups known to be small). ``order_cols`` must be a total
+    order inside the group."""
+    g = list(group_cols)
+    if bucket is None:
+        # one bucket per group: the rank is the index, no offsets needed
+        w = Window.partitionBy(*g).orderBy(*order_cols) if g else Window.orderBy(*order_cols)
+        return df.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+    d = df.withColumn("_bkt", bucket)
+    cnt = d.groupBy(*g, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*g).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1) \
+        if g else Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    local = Window.partitionBy(*g, "_bkt").orderBy(*order_cols)
+    ranked = d.withColumn("_r", F.row_number().over(local) - 1)
+    return (ranked.join(off, g + ["_bkt"])
+            .withColumn(name, F.col("_off") + F.col("_r"))
+            .drop("_bkt", "_off", "_r"))
+
+
+def id_range_bucket(df: DataFrame, id_col: str, n_buckets: int) -> tuple[DataFrame, Column]:
+    """Attach the global id range and return a monotone id bucket."""
+    rng = df.agg(F.min(id_col).alias("_lo"), F.max(id_col).alias("_hi"))
+    d = (df.withColumn("_one", F.lit(1))
+         .join(F.broadcast(rng.withColumn("_one", F.lit(1))), "_one").drop("_one"))
+    b = ((F.col(id_col) - F.col("_lo")).cast("double") * F.lit(n_buckets)
+         / (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")).cast("int")
+    return d, b
+
+
+def buckets_for(n_rows: int) -> int:
+    return max(1, min(4096, n_rows // ROWS_PER_BUCKET + 1))

@@ -1,18 +1,23 @@
-"""Exact all-pairs cosine nearest neighbour (self excluded), ties kept.
+"""Nearest-neighbour tables over *distinct items* (J5 vectors, J6 TF-IDF).
 
-Rows are hashed into B blocks; every (query block, candidate block) pair is
-one cogroup task that does a float64 matmul and lets only each row's best
-candidates (and exact ties) out. A final window keeps the global best per row.
-Work is n^2*d flops spread over B^2 tasks; memory per task is two blocks.
+Rows with an identical vector (or text) form one item with a multiplicity,
+so collapsed outputs never expand into all pairs within a group of copies.
+The result ``NN`` has three frames:
 
-Zero vectors score 0 against everything, so they tie with every other row.
-They are not expanded into pairs: such a row is emitted once with
-``nn_id = null`` and ``tie_all = true`` and downstream operators treat it with
-the group's smallest / second-smallest label (see SURVEY 7.3)."""
+* ``rows``  (group..., id, item)               row -> item
+* ``items`` (group..., item, mult, self_sim, zero)
+* ``pairs`` (group..., item, nn_item, sim)     each item's best *other* items (ties kept)
+
+A row's tied nearest neighbours are then: the other copies of its item when
+``mult > 1`` and ``self_sim`` reaches the best score; the rows of the listed
+``nn_item``s when their score is the best; or every other row of the group
+when all scores are equal (zero vector / no shared term). Operators downstream
+(doc_top1, permutation nulls) consume this form directly (SURVEY 7.3)."""
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,70 +25,108 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.vectors import as_double, l2_norm
+from ..functions.vectors import as_double, l2_norm, unit, dot
+from ..session import cut_lineage
+
+
+class NN(NamedTuple):
+    rows: DataFrame
+    items: DataFrame
+    pairs: DataFrame
+    group_cols: tuple
+
+
+def dedupe_items(df: DataFrame, id_col: str, key_col: str, group_cols=()):
+    """Map rows to distinct values of ``key_col``; item id = smallest row id."""
+    g = list(group_cols)
+    items = df.groupBy(*g, key_col).agg(F.min(id_col).alias("item"),
+                                        F.count(F.lit(1)).alias("mult"))
+    rows = df.select(*g, id_col, key_col).join(items.select(*g, key_col, "item"), g + [key_col]) \
+        .select(*g, F.col(id_col).alias("id"), "item")
+    return rows, items
 
 
-def _block_count(df: DataFrame, block_rows: int) -> int:
-    n = df.count()
-    return max(1, int(math.ceil(n / float(block_rows))))
+def keep_best(pairs: DataFrame, group_cols, row_col: str = "item", score: str = "sim") -> DataFrame:
+    """Keep every row's highest-scoring candidates (ties kept)."""
+    w = Window.partitionBy(*group_cols, row_col)
+    return (pairs.withColumn("_best", F.max(score).over(w))
+            .filter(F.col(score) == F.col("_best")).drop("_best"))
 
 
 def vector_nn(df: DataFrame, id_col: str = "id", vec_col: str = "vec", group_cols=(),
               block_rows: int = 2048, n_blocks: int | None = None, eps: float = 1e-9,
-              digits: int = 9) -> DataFrame:
-    """Return ``(group..., id, nn_id, sim, tie_all)``.
-
-    ``sim`` is the cosine of v/(|v|+eps) vectors rounded to ``digits`` before
-    ties are decided (float noise must not break or invent ties)."""
-    group_cols = list(group_cols)
-    base = df.select(*[F.col(c) for c in group_cols], F.col(id_col).alias("_id"),
-                     as_double(vec_col).alias("_v"))
-    base = base.withColumn("_nrm", l2_norm("_v"))
-    zero = base.filter(F.col("_nrm") == 0)
-    live = base.filter(F.col("_nrm") > 0).drop("_nrm")
-    cand_all = base.drop("_nrm")
-
-    B = n_blocks or _block_count(base, block_rows)
+              digits: int = 9) -> NN:
+    """Exact cosine nearest items (self excluded) by blocked matmul.
+
+    Items are hashed into B blocks; each (query block, candidate block) pair
+    is one cogroup task doing a float64 matmul that lets only each item's best
+    candidates out. Similarities are rounded to ``digits`` before ties are
+    decided, in both this engine and the oracle."""
+    g = list(group_cols)
+    base = df.select(*g, F.col(id_col), as_double(vec_col).alias("_v"))
+    rows, items = dedupe_items(base, id_col, "_v", g)
+    items = cut_lineage(items)
+    u = unit("_v", eps)
+    info = items.select(*g, "item", "mult", F.round(dot(u, u), digits).alias("self_sim"),
+                        (l2_norm("_v") == 0).alias("zero"))
+    live = items.filter(l2_norm("_v") > 0).select(*g, "item", "_v")
+    everyone = items.select(*g, "item", "_v")
+
+    B = n_blocks or max(1, int(math.ceil(items.count() / float(block_rows))))
+    rows = cut_lineage(rows)
     id_type = df.schema[id_col].dataType
-    gfields = [df.schema[c] for c in group_cols]
+    gfields = [df.schema[c] for c in g]
     out_schema = T.StructType(gfields + [
-        T.StructField("id", id_type), T.StructField("nn_id", id_type),
+        T.StructField("item", id_type), T.StructField("nn_item", id_type),
         T.StructField("sim", T.DoubleType())])
+    names = [f.name for f in gfields] + ["item", "nn_item", "sim"]
 
-    blk = F.pmod(F.xxhash64("_id"), F.lit(B))
-    q = live.withColumn("_qb", blk).withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    c = (cand_all.withColumn("_cb", blk)
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-         .withColumnRenamed("_id", "_cid").withColumnRenamed("_v", "_cv"))
-    keys = group_cols + ["_qb", "_cb"]
-    ng = len(group_cols)
+    blk = F.pmod(F.xxhash64("item"), F.lit(B))
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(B - 1)))
+    q = live.withColumn("_qb", blk).withColumn("_cb", every_block)
+    c = (everyone.withColumn("_cb", blk).withColumn("_qb", every_block)
+         .withColumnRenamed("item", "_cid").withColumnRenamed("_v", "_cv"))
+    keys = g + ["_qb", "_cb"]
 
     def best_in_block(key, qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        cols = [f.name for f in gfields] + ["id", "nn_id", "sim"]
         if len(qp) == 0 or len(cp) == 0:
-            return pd.DataFrame({k: [] for k in cols})
+            return pd.DataFrame({k: [] for k in names})
         Q = np.vstack(qp["_v"].to_numpy()).astype(np.float64)
         C = np.vstack(cp["_cv"].to_numpy()).astype(np.float64)
         Q /= (np.linalg.norm(Q, axis=1, keepdims=True) + eps)
         C /= (np.linalg.norm(C, axis=1, keepdims=True) + eps)
         S = np.round(Q @ C.T, digits)
-        qid = qp["_id"].to_numpy()
+        qid = qp["item"].to_numpy()
         cid = cp["_cid"].to_numpy()
         S[qid[:, None] == cid[None, :]] = -np.inf
         best = S.max(axis=1)
         ri, ci = np.nonzero((S == best[:, None]) & np.isfinite(best)[:, None])
         out = {f.name: [key[k]] * len(ri) for k, f in enumerate(gfields)}
-        out.update({"id": qid[ri], "nn_id": cid[ci], "sim": S[ri, ci]})
-        return pd.DataFrame(out, columns=cols)
+        out.update({"item": qid[ri], "nn_item": cid[ci], "sim": S[ri, ci]})
+        return pd.DataFrame(out, columns=names)
 
     pairs = (q.groupBy(*keys).cogroup(c.groupBy(*keys))
              .applyInPandas(best_in_block, schema=out_schema))
-    w = Window.partitionBy(*group_cols, "id")
-    pairs = (pairs.withColumn("_best", F.max("sim").over(w))
-             .filter(F.col("sim") == F.col("_best")).drop("_best")
-             .withColumn("tie_all", F.lit(False)))
-    zero_rows = zero.select(*group_cols, F.col("_id").alias("id"),
-                            F.lit(None).cast(id_type).alias("nn_id"),
-                            F.lit(0.0).alias("sim"), F.lit(True).alias("tie_all"))
-    # a zero row only ties with "everyone" if it has at least one other row
-    return pairs.unionByName(zero_rows)
+    return NN(rows, cut_lineage(info), cut_lineage(keep_best(pairs, g)), tuple(g))
+
+
+def row_pairs(nn: NN) -> DataFrame:
+    """Row-level view ``(group..., id, nn_id, sim)`` of the tied neighbours,
+    for inspection and small outputs. Expands copies, so it is quadratic in
+    the size of a group of identical items; evaluation operators never call it."""
+    g = list(nn.group_cols)
+    best = nn.pairs.groupBy(*g, "item").agg(F.max("sim").alias("_bo"))
+    it = nn.items.join(best, g + ["item"], "left")
+    top = F.greatest(F.col("_bo"), F.when(F.col("mult") > 1, F.col("self_sim")))
+    it = it.withColumn("_top", top)
+    r = nn.rows
+    other = (r.join(it.select(*g, "item", "_top"), g + ["item"])
+             .join(nn.pairs, g + ["item"]).filter(F.col("sim") == F.col("_top"))
+             .join(r.select(*g, F.col("item").alias("nn_item"), F.col("id").alias("nn_id")),
+                   g + ["nn_item"]).select(*g, "id", "nn_id", "sim"))
+    copies = (r.join(it.filter((F.col("mult") > 1) & (F.col("self_sim") == F.col("_top")))
+                     .select(*g, "item", "self_sim"), g + ["item"])
+              .join(r.select(*g, "item", F.col("id").alias("nn_id")), g + ["item"])
+              .filter(F.col("id") != F.col("nn_id"))
+              .select(*g, "id", "nn_id", F.col("self_sim").alias("sim")))
+    return other.unionByName(copies)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.neighbors import vector_nn
+from ..operators.neighbors import row_pairs, vector_nn
 from ..operators.retrieval import doc_top1, doc_top1_rows
 from ..operators.significance import perm_test_labels, perm_test_rows
 from . import sql_fragments as Q
 from .fixtures import signal_activations
 from .registry import register
+from ..session import cut_lineage
 
 N_PERM_LABELS = 2000   # label shuffles, layer sweep default
 N_PERM_ROWS = 5000     # row shuffles, checkpoint evaluation default
@@ -22,11 +23,11 @@ def _signal_nn(spark, sf_dir):
 
 @register("vector_nn", f"""
 WITH {Q.ACT_UNIT}, {Q.ACT_NN}
-SELECT id, nn_id, round(sim, 6) AS sim, false AS tie_all FROM act_nn""")
+SELECT id, nn_id, round(sim, 6) AS sim FROM act_nn""")
 def q_vector_nn(spark, sf_dir):
     """Every row's most cosine-similar other row (ties kept)."""
     _, nn = _signal_nn(spark, sf_dir)
-    return nn
+    return row_pairs(nn)
 
 
 @register("doc_top1_vectors", f"""
@@ -58,7 +59,7 @@ FROM act_obs o, ph GROUP BY o.doc_top1, o.hits, o.n, o.n_docs, o.chance"""
 def q_perm_test_labels(spark, sf_dir):
     """R2: doc_top1 with a 2,000-shuffle label-permutation null (p, z)."""
     act, nn = _signal_nn(spark, sf_dir)
-    rows = doc_top1_rows(nn, act.select("id", "doc"))
+    rows = cut_lineage(doc_top1_rows(nn, act.select("id", "doc")))
     obs = doc_top1(rows)
     return perm_test_labels(nn, rows, obs, N_PERM_LABELS, seed=0)
 
@@ -81,5 +82,5 @@ FROM act_obs o, ph GROUP BY o.doc_top1, o.hits, o.n, o.n_docs, o.chance"""
 def q_perm_test_rows(spark, sf_dir):
     """doc_top1 with a 5,000-shuffle row-permutation null."""
     act, nn = _signal_nn(spark, sf_dir)
-    rows = doc_top1_rows(nn, act.select("id", "doc"))
+    rows = cut_lineage(doc_top1_rows(nn, act.select("id", "doc")))
     return perm_test_rows(rows, doc_top1(rows), N_PERM_ROWS, seed=0)
