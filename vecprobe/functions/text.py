@@ -31,10 +31,14 @@ def tokens(c) -> Column:
 
 
 def ngrams_1_2(tok) -> Column:
-    """Unigrams followed by bigrams of adjacent tokens."""
+    """Unigrams followed by bigrams of adjacent tokens.
+
+    Bigrams come from zipping two shifted slices, so the token array is
+    referenced a fixed number of times (never inside a per-element lambda,
+    which would re-evaluate the tokenizer for every element)."""
     t = _c(tok)
-    bi = F.transform(F.sequence(F.lit(1), F.size(t) - 1),
-                     lambda i: F.concat(F.element_at(t, i), F.lit(" "), F.element_at(t, i + 1)))
+    n = F.size(t) - 1
+    bi = F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(F.size(t) > 1, F.concat(t, bi)).otherwise(t)
 
 
@@ -53,9 +57,15 @@ def tag_extract(c) -> Column:
 
 def pattern_position(arr, left, mid, right) -> Column:
     """First 0-based interior position p with arr[p-1]=left, arr[p]=mid,
-    arr[p+1]=right; null when absent."""
-    a = _c(arr)
-    idx = F.sequence(F.lit(1), F.size(a) - 2)
-    hits = F.filter(idx, lambda p: (F.element_at(a, p) == left) & (F.element_at(a, p + 1) == mid)
-                    & (F.element_at(a, p + 2) == right))
-    return F.when(F.size(a) >= 3, F.element_at(hits, 1))
+    arr[p+1]=right; null when absent. Built from three shifted slices joined
+    with a control character, so no per-element lambda re-reads ``arr``."""
+    a = F.transform(_c(arr), lambda x: x.cast("string"))
+    n = F.size(a) - 2
+    sep = F.lit("\u0001")
+    tri = F.zip_with(F.zip_with(F.slice(a, 1, n), F.slice(a, 2, n), lambda x, y: F.concat(x, sep, y)),
+                     F.slice(a, 3, n), lambda xy, z: F.concat(xy, sep, z))
+    key = F.concat(F.lit(str(left)) if not isinstance(left, Column) else left.cast("string"), sep,
+                   F.lit(str(mid)) if not isinstance(mid, Column) else mid.cast("string"), sep,
+                   F.lit(str(right)) if not isinstance(right, Column) else right.cast("string"))
+    pos = F.array_position(tri, key).cast("int")
+    return F.when((F.size(a) >= 3) & (pos > 0), pos)

@@ -3,4 +3,4 @@
 equivalent DuckDB SQL used as an oracle."""
 
 from .registry import QUERIES, ORACLE  # noqa: F401
-from . import vector_evals, stats_evals, corpus_evals  # noqa: F401,E401  (register queries)
+from . import vector_evals, stats_evals, corpus_evals, text_evals  # noqa: F401,E401
