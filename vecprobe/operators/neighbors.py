@@ -53,38 +53,27 @@ def keep_best(pairs: DataFrame, group_cols, row_col: str = "item", score: str =
             .filter(F.col(score) == F.col("_best")).drop("_best"))
 
 
-def vector_nn(df: DataFrame, id_col: str = "id", vec_col: str = "vec", group_cols=(),
-              block_rows: int = 2048, n_blocks: int | None = None, eps: float = 1e-9,
-              digits: int = 9) -> NN:
-    """Exact cosine nearest items (self excluded) by blocked matmul.
-
-    Items are hashed into B blocks; each (query block, candidate block) pair
-    is one cogroup task doing a float64 matmul that lets only each item's best
-    candidates out. Similarities are rounded to ``digits`` before ties are
-    decided, in both this engine and the oracle."""
+def blocked_best(queries: DataFrame, cands: DataFrame, group_cols, id_type, n_qblocks: int,
+                 n_cblocks: int, exclude_self: bool, eps: float = 1e-9, digits: int = 9) -> DataFrame:
+    """Exact best-cosine candidates for every query row (ties kept).
+
+    ``queries`` / ``cands``: (group..., item, _v). Query rows fall into
+    ``n_qblocks`` hash blocks, candidates into ``n_cblocks``; each (query
+    block, candidate block) pair is one cogroup task (float64 matmul) that
+    emits only each query's best candidates. A small candidate side (e.g.
+    prototypes, n_cblocks = 1) is therefore replicated once per query block
+    instead of being broadcast unchecked; a large one is split like the
+    query side. Output: (group..., item, nn_item, sim)."""
     g = list(group_cols)
-    base = df.select(*g, F.col(id_col), as_double(vec_col).alias("_v"))
-    rows, items = dedupe_items(base, id_col, "_v", g)
-    items = cut_lineage(items)
-    u = unit("_v", eps)
-    info = items.select(*g, "item", "mult", F.round(dot(u, u), digits).alias("self_sim"),
-                        (l2_norm("_v") == 0).alias("zero"))
-    live = items.filter(l2_norm("_v") > 0).select(*g, "item", "_v")
-    everyone = items.select(*g, "item", "_v")
-
-    B = n_blocks or max(1, int(math.ceil(items.count() / float(block_rows))))
-    rows = cut_lineage(rows)
-    id_type = df.schema[id_col].dataType
-    gfields = [df.schema[c] for c in g]
+    gfields = [queries.schema[c] for c in g]
     out_schema = T.StructType(gfields + [
         T.StructField("item", id_type), T.StructField("nn_item", id_type),
         T.StructField("sim", T.DoubleType())])
     names = [f.name for f in gfields] + ["item", "nn_item", "sim"]
-
-    blk = F.pmod(F.xxhash64("item"), F.lit(B))
-    every_block = F.explode(F.sequence(F.lit(0), F.lit(B - 1)))
-    q = live.withColumn("_qb", blk).withColumn("_cb", every_block)
-    c = (everyone.withColumn("_cb", blk).withColumn("_qb", every_block)
+    qb = F.pmod(F.xxhash64("item"), F.lit(n_qblocks))
+    cb = F.pmod(F.xxhash64("item"), F.lit(n_cblocks))
+    q = queries.withColumn("_qb", qb).withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(n_cblocks - 1))))
+    c = (cands.withColumn("_cb", cb).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_qblocks - 1))))
          .withColumnRenamed("item", "_cid").withColumnRenamed("_v", "_cv"))
     keys = g + ["_qb", "_cb"]
 
@@ -98,7 +87,8 @@ def vector_nn(df: DataFrame, id_col: str = "id", vec_col: str = "vec", group_col
         S = np.round(Q @ C.T, digits)
         qid = qp["item"].to_numpy()
         cid = cp["_cid"].to_numpy()
-        S[qid[:, None] == cid[None, :]] = -np.inf
+        if exclude_self:
+            S[qid[:, None] == cid[None, :]] = -np.inf
         best = S.max(axis=1)
         ri, ci = np.nonzero((S == best[:, None]) & np.isfinite(best)[:, None])
         out = {f.name: [key[k]] * len(ri) for k, f in enumerate(gfields)}
@@ -107,7 +97,32 @@ def vector_nn(df: DataFrame, id_col: str = "id", vec_col: str = "vec", group_col
 
     pairs = (q.groupBy(*keys).cogroup(c.groupBy(*keys))
              .applyInPandas(best_in_block, schema=out_schema))
-    return NN(rows, cut_lineage(info), cut_lineage(keep_best(pairs, g)), tuple(g))
+    return keep_best(pairs, g)
+
+
+def n_blocks_for(df: DataFrame, block_rows: int) -> int:
+    return max(1, int(math.ceil(df.count() / float(block_rows))))
+
+
+def vector_nn(df: DataFrame, id_col: str = "id", vec_col: str = "vec", group_cols=(),
+              block_rows: int = 2048, n_blocks: int | None = None, eps: float = 1e-9,
+              digits: int = 9) -> NN:
+    """Exact cosine nearest items (self excluded) by blocked matmul.
+
+    Similarities are rounded to ``digits`` before ties are decided, in both
+    this engine and the oracle."""
+    g = list(group_cols)
+    base = df.select(*g, F.col(id_col), as_double(vec_col).alias("_v"))
+    rows, items = dedupe_items(base, id_col, "_v", g)
+    items = cut_lineage(items)
+    u = unit("_v", eps)
+    info = items.select(*g, "item", "mult", F.round(dot(u, u), digits).alias("self_sim"),
+                        (l2_norm("_v") == 0).alias("zero"))
+    live = items.filter(l2_norm("_v") > 0).select(*g, "item", "_v")
+    everyone = items.select(*g, "item", "_v")
+    B = n_blocks or n_blocks_for(items, block_rows)
+    pairs = blocked_best(live, everyone, g, df.schema[id_col].dataType, B, B, True, eps, digits)
+    return NN(cut_lineage(rows), cut_lineage(info), cut_lineage(pairs), tuple(g))
 
 
 def row_pairs(nn: NN) -> DataFrame:
