@@ -1,0 +1,4 @@
+"""No streaming operators: every input of the reference is a complete file
+read and every evaluation a batch (SURVEY §2.10). Its only incremental
+behaviour (append + resume, step-by-step log appends) lives in
+``vecprobe.sources.io`` as batch operators."""
