@@ -75,3 +75,25 @@ def test_label_null_on_signal_free_data(spark):
     rows = doc_top1_rows(nn, df.select("id", "doc"))
     out = perm_test_labels(nn, rows, doc_top1(rows), 50, 0).first()
     assert 0.0 < out.p_value <= 1.0
+
+
+def test_blocks_meet_across_many_partitions(spark):
+    """Block keys must have one type on both sides, or groups split across
+    shuffle partitions never meet (regression: bigint vs int keys)."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rng = np.random.default_rng(11)
+        n = 60
+        vecs = rng.normal(size=(n, 4))
+        docs = [int(x) for x in rng.integers(0, 4, size=n)]
+        df = spark.createDataFrame([(i, docs[i], [float(x) for x in vecs[i]]) for i in range(n)],
+                                   "id long, doc long, vec array<double>")
+        nn = vector_nn(df, "id", "vec", n_blocks=4)
+        assert nn.pairs.select("item").distinct().count() == n
+        rows = doc_top1_rows(nn, df.select("id", "doc"))
+        assert doc_top1(rows).first().hits == brute_doc_top1(vecs, docs)
+        t = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common") for i in range(n)], "id long, text string")
+        tn = tfidf_nn(t, "id", "text", block_rows=16)
+        assert tn.pairs.select("item").distinct().count() == tn.items.count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

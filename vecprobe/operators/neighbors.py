@@ -70,8 +70,8 @@ def blocked_best(queries: DataFrame, cands: DataFrame, group_cols, id_type, n_qb
         T.StructField("item", id_type), T.StructField("nn_item", id_type),
         T.StructField("sim", T.DoubleType())])
     names = [f.name for f in gfields] + ["item", "nn_item", "sim"]
-    qb = F.pmod(F.xxhash64("item"), F.lit(n_qblocks))
-    cb = F.pmod(F.xxhash64("item"), F.lit(n_cblocks))
+    qb = F.pmod(F.xxhash64("item"), F.lit(n_qblocks)).cast("int")
+    cb = F.pmod(F.xxhash64("item"), F.lit(n_cblocks)).cast("int")
     q = queries.withColumn("_qb", qb).withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(n_cblocks - 1))))
     c = (cands.withColumn("_cb", cb).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_qblocks - 1))))
          .withColumnRenamed("item", "_cid").withColumnRenamed("_v", "_cv"))
@@ -145,3 +145,69 @@ def row_pairs(nn: NN) -> DataFrame:
               .filter(F.col("id") != F.col("nn_id"))
               .select(*g, "id", "nn_id", F.col("self_sim").alias("sim")))
     return other.unionByName(copies)
+
+
+def term_ids(*entry_frames: DataFrame, term_col: str = "term"):
+    """64-bit term ids (xxhash64) for sparse blocks, with an exactness check:
+    returns (frames with ``tid``, ok) where ok is False if two distinct terms
+    of these frames share an id (callers then fall back to joining on term)."""
+    framed = [f.withColumn("tid", F.xxhash64(term_col)) for f in entry_frames]
+    terms = None
+    for f in framed:
+        t = f.select(term_col, "tid").distinct()
+        terms = t if terms is None else terms.unionByName(t).distinct()
+    c = terms.agg(F.count(F.lit(1)).alias("nt"), F.countDistinct("tid").alias("nh")).first()
+    return framed, c.nt == c.nh
+
+
+def blocked_best_sparse(q: DataFrame, c: DataFrame, group_cols, id_type, n_qblocks: int,
+                        n_cblocks: int, exclude_self: bool, positive_only: bool = True,
+                        digits: int = 9) -> DataFrame:
+    """Best candidates per query item for sparse, already-normalised vectors.
+
+    ``q`` / ``c``: long entries (group..., item, tid, w). Each (query block,
+    candidate block) cogroup task densifies only the query block's terms
+    (candidates restricted to them) and does one float64 matmul, so the work
+    is a BLAS product instead of a row per (query term, posting) pair.
+    Output: (group..., item, nn_item, sim) with ties; scores <= 0 dropped when
+    ``positive_only`` (rows sharing no term are handled by the caller)."""
+    g = list(group_cols)
+    gfields = [q.schema[x] for x in g]
+    out_schema = T.StructType(gfields + [
+        T.StructField("item", id_type), T.StructField("nn_item", id_type),
+        T.StructField("sim", T.DoubleType())])
+    names = [f.name for f in gfields] + ["item", "nn_item", "sim"]
+    qb = F.pmod(F.xxhash64("item"), F.lit(n_qblocks)).cast("int")
+    cb = F.pmod(F.xxhash64("item"), F.lit(n_cblocks)).cast("int")
+    qq = q.withColumn("_qb", qb).withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(n_cblocks - 1))))
+    cc = (c.withColumn("_cb", cb).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_qblocks - 1))))
+          .withColumnRenamed("item", "_cid").withColumnRenamed("w", "_cw").withColumnRenamed("tid", "_ct"))
+    keys = g + ["_qb", "_cb"]
+
+    def block(key, qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({k: [] for k in names})
+        if len(qp) == 0 or len(cp) == 0:
+            return empty
+        terms = np.unique(qp["tid"].to_numpy())
+        ct = cp["_ct"].to_numpy()
+        keep = np.isin(ct, terms)
+        if not keep.any():
+            return empty
+        qids, qrow = np.unique(qp["item"].to_numpy(), return_inverse=True)
+        cids, crow = np.unique(cp["_cid"].to_numpy()[keep], return_inverse=True)
+        Q = np.zeros((len(qids), len(terms)))
+        C = np.zeros((len(cids), len(terms)))
+        Q[qrow, np.searchsorted(terms, qp["tid"].to_numpy())] = qp["w"].to_numpy()
+        C[crow, np.searchsorted(terms, ct[keep])] = cp["_cw"].to_numpy()[keep]
+        S = np.round(Q @ C.T, digits)
+        if exclude_self:
+            S[qids[:, None] == cids[None, :]] = -np.inf
+        best = S.max(axis=1)
+        ok = best > 0 if positive_only else np.isfinite(best)
+        ri, ci = np.nonzero((S == best[:, None]) & ok[:, None])
+        out = {f.name: [key[k]] * len(ri) for k, f in enumerate(gfields)}
+        out.update({"item": qids[ri], "nn_item": cids[ci], "sim": S[ri, ci]})
+        return pd.DataFrame(out, columns=names)
+
+    pairs = qq.groupBy(*keys).cogroup(cc.groupBy(*keys)).applyInPandas(block, schema=out_schema)
+    return keep_best(pairs, g)
