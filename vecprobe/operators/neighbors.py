@@ -160,6 +160,45 @@ def term_ids(*entry_frames: DataFrame, term_col: str = "term"):
     return framed, c.nt == c.nh
 
 
+def sparse_block_scores(q_item, q_tid, q_w, c_item, c_tid, c_w, dense_factor: float = 30.0):
+    """Dot products of two blocks of sparse vectors given as (item, term, w)
+    entries. Terms shared by many rows on both sides ("heavy": pairs per term
+    above nq*nc/dense_factor) go through one dense BLAS product; the rest are
+    expanded as (row, row) pairs by a hash merge on term and summed with
+    bincount. Returns (S, q_ids, c_ids) or (None, ..) when nothing is shared."""
+    shared = np.intersect1d(np.unique(q_tid), np.unique(c_tid))
+    if len(shared) == 0:
+        return None, None, None
+    qk, ck = np.isin(q_tid, shared), np.isin(c_tid, shared)
+    qids, qrow = np.unique(q_item[qk], return_inverse=True)
+    cids, crow = np.unique(c_item[ck], return_inverse=True)
+    tq, tc = np.searchsorted(shared, q_tid[qk]), np.searchsorted(shared, c_tid[ck])
+    wq, wc = q_w[qk], c_w[ck]
+    nq, nc = len(qids), len(cids)
+    dq = np.bincount(tq, minlength=len(shared)).astype(np.float64)
+    dc = np.bincount(tc, minlength=len(shared)).astype(np.float64)
+    heavy = dq * dc > (nq * nc) / dense_factor
+    S = np.zeros((nq, nc))
+    if heavy.any():
+        hmap = np.cumsum(heavy) - 1
+        hq, hc = heavy[tq], heavy[tc]
+        Qh = np.zeros((nq, int(heavy.sum())))
+        Ch = np.zeros((nc, int(heavy.sum())))
+        Qh[qrow[hq], hmap[tq[hq]]] = wq[hq]
+        Ch[crow[hc], hmap[tc[hc]]] = wc[hc]
+        S += Qh @ Ch.T
+    lq, lc = ~heavy[tq], ~heavy[tc]
+    if lq.any() and lc.any():
+        a = pd.DataFrame({"t": tq[lq], "r": qrow[lq], "w": wq[lq]})
+        b = pd.DataFrame({"t": tc[lc], "r": crow[lc], "w": wc[lc]})
+        m = a.merge(b, on="t")
+        if len(m):
+            flat = m["r_x"].to_numpy() * nc + m["r_y"].to_numpy()
+            S += np.bincount(flat, weights=m["w_x"].to_numpy() * m["w_y"].to_numpy(),
+                             minlength=nq * nc).reshape(nq, nc)
+    return S, qids, cids
+
+
 def blocked_best_sparse(q: DataFrame, c: DataFrame, group_cols, id_type, n_qblocks: int,
                         n_cblocks: int, exclude_self: bool, positive_only: bool = True,
                         digits: int = 9) -> DataFrame:
@@ -188,18 +227,12 @@ def blocked_best_sparse(q: DataFrame, c: DataFrame, group_cols, id_type, n_qbloc
         empty = pd.DataFrame({k: [] for k in names})
         if len(qp) == 0 or len(cp) == 0:
             return empty
-        terms = np.unique(qp["tid"].to_numpy())
-        ct = cp["_ct"].to_numpy()
-        keep = np.isin(ct, terms)
-        if not keep.any():
+        S, qids, cids = sparse_block_scores(
+            qp["item"].to_numpy(), qp["tid"].to_numpy(), qp["w"].to_numpy(),
+            cp["_cid"].to_numpy(), cp["_ct"].to_numpy(), cp["_cw"].to_numpy())
+        if S is None:
             return empty
-        qids, qrow = np.unique(qp["item"].to_numpy(), return_inverse=True)
-        cids, crow = np.unique(cp["_cid"].to_numpy()[keep], return_inverse=True)
-        Q = np.zeros((len(qids), len(terms)))
-        C = np.zeros((len(cids), len(terms)))
-        Q[qrow, np.searchsorted(terms, qp["tid"].to_numpy())] = qp["w"].to_numpy()
-        C[crow, np.searchsorted(terms, ct[keep])] = cp["_cw"].to_numpy()[keep]
-        S = np.round(Q @ C.T, digits)
+        S = np.round(S, digits)
         if exclude_self:
             S[qids[:, None] == cids[None, :]] = -np.inf
         best = S.max(axis=1)
