@@ -14,7 +14,9 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
     """Local session used by tests and bench.py. On a cluster, build the
     session from the cluster config instead; operators never rely on this."""
     if shuffle_partitions is None:
-        shuffle_partitions = int(cpus) if str(cpus).isdigit() else 8
+        # 4 x cores: big aggregations get small per-task hash maps; AQE
+        # coalesces the many tiny partitions of small shuffles back down
+        shuffle_partitions = 4 * int(cpus) if str(cpus).isdigit() else 32
     parts = shuffle_partitions
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
