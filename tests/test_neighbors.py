@@ -97,3 +97,18 @@ def test_blocks_meet_across_many_partitions(spark):
         assert tn.pairs.select("item").distinct().count() == tn.items.count()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_bucketed_dense_index_equals_row_number(spark):
+    from pyspark.sql import Window
+    from vecprobe.functions.random import hash_key
+    from vecprobe.operators.indexing import dense_index, hex_bucket, id_range_bucket
+    df = spark.range(0, 500).select((F.col("id") * 7 % 500).alias("id"), (F.col("id") % 3).alias("g"))
+    d = df.withColumn("_h", hash_key(F.lit(1), F.col("id")))
+    a = dense_index(d, ["_h", "id"], ["g"], "idx", hex_bucket("_h", 8))
+    ref = d.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("_h", "id")) - 1)
+    assert a.join(ref, ["g", "id"]).filter(F.col("idx") != F.col("r")).count() == 0
+    d2, b = id_range_bucket(df, "id", 5)
+    c = dense_index(d2, ["id"], ["g"], "idx", b)
+    ref2 = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1)
+    assert c.join(ref2, ["g", "id"]).filter(F.col("idx") != F.col("r")).count() == 0

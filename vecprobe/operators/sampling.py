@@ -79,7 +79,7 @@ def domain_negatives(rows: DataFrame, id_col: str, domain_col: str, k: int, seed
     rest from other domains, then padded from everything left. Candidates per
     anchor are bounded (O(k)); pools are addressed through a dense
     (domain, index) numbering, so no anchor x pool pairs are formed."""
-    from .indexing import dense_index
+    from .significance import id_index
     r = rows.select(F.col(id_col).alias("id"), F.col(domain_col).cast("string").alias("dom"))
     if not domain_aware:
         r = r.withColumn("dom", F.lit(""))
@@ -87,7 +87,9 @@ def domain_negatives(rows: DataFrame, id_col: str, domain_col: str, k: int, seed
     offs = sizes.withColumn("off", F.coalesce(F.sum("n_d").over(
         Window.orderBy("dom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = sizes.agg(F.sum("n_d").alias("N"))
-    ix = dense_index(r, ["id"], ["dom"], "didx").join(offs, "dom")
+    # per-domain numbering in id-range buckets: a domain holding most rows is
+    # split over many window partitions instead of one task
+    ix = id_index(r, ["dom"], "id", "didx", n_rows=r.count()).join(offs, "dom")
     a = join_group(ix, total, ()).withColumn("gidx", F.col("off") + F.col("didx"))
     a = a.select("id", "n_d", "off", "didx", "gidx", "N")
     by_g = a.select(F.col("gidx").alias("_g"), F.col("id").alias("neg_id"))
