@@ -77,14 +77,73 @@ def q_paraphrase_pick(spark, sf_dir):
     return pick_variant(d, ["doc_id"], v, "turn", "text", "lang", STEP_SEED).select("doc_id", "label")
 
 
-@register("domain_negatives")
+def _negatives_sql(k: int, seed: int, domain_aware: bool) -> str:
+    """The negatives sampler in SQL: same md5 draws, regimes and pad step."""
+    dom = "source" if domain_aware else "''"
+    half = k // 2 if domain_aware else 0
+
+    def pool(src, ps, q, to_g, tag):
+        full = f"({ps} <= 4 * {q})"
+        h = f"(('0x' || substr(md5(concat_ws('|', '{seed}', id::VARCHAR, '{tag}', t::VARCHAR)), 1, 8))::UBIGINT % ({ps})::UBIGINT)::BIGINT"
+        return f"""
+  SELECT id, neg_id, min(o) AS o FROM (
+    SELECT x.id, byg.neg_id,
+           CASE WHEN x.isfull THEN md5(concat_ws('|', '{seed}', x.id::VARCHAR, '{tag}', byg.neg_id::VARCHAR))
+                ELSE lpad(x.t::VARCHAR, 12, '0') END AS o
+    FROM (SELECT *, {to_g.format(j='j')} AS g FROM (
+            SELECT *, CASE WHEN isfull THEN t ELSE {h} END AS j FROM (
+              SELECT *, {full} AS isfull, unnest(generate_series(0, CASE WHEN {full} THEN {ps} ELSE 4 * {q} + 8 END - 1)) AS t
+              FROM {src} WHERE {q} > 0 AND {ps} > 0))) x
+    JOIN byg ON byg.g = x.g)
+  GROUP BY id, neg_id"""
+
+    def take(cands, quota_src):
+        return f"""
+  SELECT id, neg_id FROM (
+    SELECT c.id, c.neg_id, row_number() OVER (PARTITION BY c.id ORDER BY c.o, c.neg_id) AS rn, qq.q
+    FROM ({cands}) c JOIN {quota_src} qq USING (id)) WHERE rn <= q"""
+
+    parts = []
+    ctes = [f"""r AS (SELECT doc_id AS id, {dom}::VARCHAR AS dom FROM documents),
+sz AS (SELECT dom, count(*) AS n_d FROM r GROUP BY dom),
+offs AS (SELECT dom, n_d, coalesce(sum(n_d) OVER (ORDER BY dom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM sz),
+tot AS (SELECT sum(n_d)::BIGINT AS N FROM sz),
+a AS (SELECT r.id, o.n_d, o.off, row_number() OVER (PARTITION BY r.dom ORDER BY r.id) - 1 AS didx, tot.N
+      FROM r JOIN offs o USING (dom), tot),
+a2 AS (SELECT *, off + didx AS gidx FROM a),
+byg AS (SELECT gidx AS g, id AS neg_id FROM a2)"""]
+    if half > 0:
+        ctes.append(f"sq AS (SELECT id, least({half}, n_d - 1) AS q FROM a2)")
+        ctes.append("same AS (" + take(pool("a2", "n_d - 1", f"least({half}, n_d - 1)",
+                                               "off + CASE WHEN {j} >= didx THEN {j} + 1 ELSE {j} END", "s"), "sq") + ")")
+        parts.append("SELECT * FROM same")
+    n_same = f"least({half}, n_d - 1)" if half > 0 else "0"
+    if domain_aware:
+        ctes.append(f"oq AS (SELECT id, least({k} - {n_same}, N - n_d) AS q FROM a2)")
+        ctes.append("other AS (" + take(pool("a2", "N - n_d", f"least({k} - {n_same}, N - n_d)",
+                                                "CASE WHEN {j} < off THEN {j} ELSE {j} + n_d END", "o"), "oq") + ")")
+        parts.append("SELECT * FROM other")
+    chosen = " UNION ALL ".join(parts) if parts else "SELECT id, id AS neg_id FROM a2 WHERE false"
+    ctes.append(f"chosen AS ({chosen})")
+    ctes.append("""b AS (SELECT a2.*, coalesce(h.nh, 0) AS nh FROM a2 LEFT JOIN
+                 (SELECT id, count(*) AS nh FROM chosen GROUP BY id) h USING (id))""")
+    ctes.append(f"pq AS (SELECT id, least({k} - nh, N - 1 - nh) AS q FROM b)")
+    pad_c = pool(f"(SELECT * FROM b WHERE least({k} - nh, N - 1 - nh) > 0)", "N - 1", str(k),
+                 "CASE WHEN {j} >= gidx THEN {j} + 1 ELSE {j} END", "p")
+    ctes.append(f"padc AS (SELECT * FROM ({pad_c}) p WHERE NOT EXISTS "
+                f"(SELECT 1 FROM chosen c WHERE c.id = p.id AND c.neg_id = p.neg_id))")
+    ctes.append("pad AS (" + take("SELECT * FROM padc", "pq") + ")")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT id, neg_id FROM chosen UNION ALL SELECT id, neg_id FROM pad"
+
+
+@register("domain_negatives", _negatives_sql(N_NEGS, STEP_SEED, True))
 def q_domain_negatives(spark, sf_dir):
     """K4: 8 negatives per document: 4 from its source, 4 from other sources."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "source")
     return domain_negatives(d, "doc_id", "source", N_NEGS, STEP_SEED, True)
 
 
-@register("uniform_negatives")
+@register("uniform_negatives", _negatives_sql(N_NEGS, STEP_SEED, False))
 def q_uniform_negatives(spark, sf_dir):
     """K5: 8 negatives per document from the whole table."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "source")
