@@ -94,7 +94,7 @@ def q_truncate_tokens(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("tok"))
     kept = truncate_array("tok", MAX_TOKENS)
     return d.select("doc_id", F.size("tok").alias("n_tokens"), F.size(kept).alias("n_kept"),
-                    F.element_at(kept, -1).alias("last_kept"),
+                    F.try_element_at(kept, F.lit(-1)).alias("last_kept"),
                     F.size(truncate_array("tok", LABEL_TOKENS)).alias("n_label"))
 
 
