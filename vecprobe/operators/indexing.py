@@ -57,3 +57,18 @@ def id_range_bucket(df: DataFrame, id_col: str, n_buckets: int) -> tuple[DataFra
 
 def buckets_for(n_rows: int) -> int:
     return max(1, min(4096, n_rows // ROWS_PER_BUCKET + 1))
+
+
+def range_index(df: DataFrame, order_cols, group_cols, name: str, numeric_col,
+                n_rows: int | None = None) -> DataFrame:
+    """0-based rank by ``order_cols`` inside each group; ``numeric_col`` (a
+    column monotone in the order, e.g. a timestamp in micros) cuts large
+    inputs into global range buckets, so a group holding most rows is ranked
+    by many tasks."""
+    n = n_rows if n_rows is not None else df.count()
+    nb = buckets_for(n)
+    if nb == 1:
+        return dense_index(df, order_cols, group_cols, name)
+    d = df.withColumn("_rk", numeric_col)
+    d, b = id_range_bucket(d, "_rk", nb)
+    return dense_index(d, order_cols, group_cols, name, b).drop("_rk", "_lo", "_hi")

@@ -48,6 +48,36 @@ def step_summary(adv: DataFrame, group_cols, reward_col: str = "reward") -> Data
                         .otherwise(F.col("n_nonzero") / F.col("g")))
 
 
+def _halo(df: DataFrame, part_cols, step_col: str, width: int, bucket_steps: int) -> DataFrame:
+    """Rows tagged with their step bucket, plus copies of the last width-1
+    rows of the previous bucket (``_own`` = false) so bounded look-back frames
+    are exact inside each bucket. Needs bucket_steps >= width - 1."""
+    if bucket_steps < width - 1:
+        raise ValueError(f"bucket_steps ({bucket_steps}) must be >= width - 1 ({width - 1})")
+    b = F.floor((F.col(step_col) - 1) / F.lit(bucket_steps)).cast("bigint")
+    own = df.withColumn("_bkt", b).withColumn("_own", F.lit(True))
+    pos_in = (F.col(step_col) - 1) - F.col("_bkt") * F.lit(bucket_steps)
+    halo = (own.filter(pos_in >= F.lit(bucket_steps - (width - 1)))
+            .withColumn("_bkt", F.col("_bkt") + 1).withColumn("_own", F.lit(False)))
+    return own.unionByName(halo)
+
+
+def rolling(df: DataFrame, part_cols, step_col: str, agg_fn, width: int, out_col: str,
+            bucket_steps: int | None = None, post=None) -> DataFrame:
+    """``agg_fn`` over the last ``width`` rows of each partition
+    (rows ordered by a dense 1-based ``step_col``). With ``bucket_steps`` the
+    partition is cut into step buckets with a halo, so one long run is spread
+    over many tasks; results are identical."""
+    if not bucket_steps:
+        w = Window.partitionBy(*part_cols).orderBy(step_col).rowsBetween(-(width - 1), 0)
+        v = agg_fn.over(w)
+        return df.withColumn(out_col, post(v) if post else v)
+    h = _halo(df, part_cols, step_col, width, bucket_steps)
+    w = Window.partitionBy(*part_cols, "_bkt").orderBy(step_col).rowsBetween(-(width - 1), 0)
+    v = agg_fn.over(w)
+    return h.withColumn(out_col, post(v) if post else v).filter("_own").drop("_bkt", "_own")
+
+
 def rolling_distinct(df: DataFrame, part_cols, order_cols, value_col: str, width: int) -> Column:
     """Distinct values among the last ``width`` rows (bounded window)."""
     w = Window.partitionBy(*part_cols).orderBy(*order_cols).rowsBetween(-(width - 1), 0)
@@ -66,6 +96,20 @@ def running_sum(part_cols, order_cols, value) -> Column:
     return F.sum(value).over(w)
 
 
+def bucketed_running_sum(df: DataFrame, part_cols, step_col: str, value, out_col: str,
+                         bucket_steps: int) -> DataFrame:
+    """W7 for long runs: running sum inside step buckets plus the totals of
+    the run's earlier buckets (a runs x buckets table)."""
+    b = F.floor((F.col(step_col) - 1) / F.lit(bucket_steps)).cast("bigint")
+    d = df.withColumn("_bkt", b).withColumn("_v", value)
+    tot = d.groupBy(*part_cols, "_bkt").agg(F.sum("_v").alias("_t"))
+    prev = Window.partitionBy(*part_cols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.withColumn("_off", F.coalesce(F.sum("_t").over(prev), F.lit(0))).drop("_t")
+    inb = Window.partitionBy(*part_cols, "_bkt").orderBy(step_col).rowsBetween(Window.unboundedPreceding, 0)
+    return (d.withColumn("_in", F.sum("_v").over(inb)).join(off, list(part_cols) + ["_bkt"])
+            .withColumn(out_col, F.col("_off") + F.col("_in")).drop("_bkt", "_v", "_in", "_off"))
+
+
 def sustained(df: DataFrame, part_cols, order_col: str, flag: Column, k: int = 2) -> DataFrame:
     """Does ``flag`` hold at >= k consecutive checkpoints in a partition."""
     w = Window.partitionBy(*part_cols).orderBy(order_col)

@@ -7,9 +7,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.rollouts import (argmax_rows, group_advantage, infonce, loss_trend,
-                                  quartile_means, rollout_loss, rolling_distinct, rolling_mean,
-                                  running_sum, step_summary, sustained)
+from ..operators.indexing import range_index
+from ..operators.rollouts import (argmax_rows, bucketed_running_sum, group_advantage, infonce,
+                                  loss_trend, quartile_means, rollout_loss, rolling, step_summary,
+                                  sustained)
 from ..sources.tables import read_table
 from .registry import register
 
@@ -33,12 +34,22 @@ steps AS (SELECT run, step, avg(reward) AS mean_reward, count(*) AS g,
                  count_if(abs(adv) > 1e-6) AS n_nonzero, bool_and(zero_var) AS skipped FROM advc GROUP BY run, step)"""
 
 
+# runs longer than this many steps are windowed in step buckets (halo /
+# prefix offsets), so one hot run is spread over many tasks
+BUCKET_STEPS = 100_000
+
+
+def _event_positions(spark, sf_dir):
+    """events + 0-based position inside the run by (ts, event_id), ranked in
+    timestamp-range buckets when the table is large."""
+    e = read_table(spark, sf_dir, "events")
+    return range_index(e, ["ts", "event_id"], ["user_id"], "pos", F.unix_micros("ts"))
+
+
 def rollouts(spark, sf_dir):
     """(run, step, gi, reward, text): events as grouped rollouts."""
-    e = read_table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    pos = F.row_number().over(w) - 1
-    return (e.select(F.col("user_id").alias("run"), pos.alias("pos"),
+    e = _event_positions(spark, sf_dir)
+    return (e.select(F.col("user_id").alias("run"), "pos",
                      F.col("value").alias("reward"), F.col("event_type").alias("text"))
             .select("run", (F.floor(F.col("pos") / GROUP) + 1).alias("step"),
                     (F.col("pos") % GROUP).cast("bigint").alias("gi"), "reward", "text"))
@@ -89,8 +100,8 @@ FROM ro WHERE gi = 0""")
 def q_rolling_unique(spark, sf_dir):
     """Distinct first-completion texts over the last 5 steps."""
     r = rollouts(spark, sf_dir).filter(F.col("gi") == 0)
-    return r.select("run", "step", rolling_distinct(r, ["run"], ["step"], "text", UNIQUE_WINDOW)
-                    .cast("bigint").alias("n_unique_5"))
+    out = rolling(r, ["run"], "step", F.collect_set("text"), UNIQUE_WINDOW, "n_unique_5", BUCKET_STEPS, F.size)
+    return out.select("run", "step", F.col("n_unique_5").cast("bigint").alias("n_unique_5"))
 
 
 @register("rolling_reward", f"""
@@ -101,7 +112,7 @@ SELECT run, step, round(m, 6) AS mean_reward_last10 FROM rr WHERE step % {CKPT_E
 def q_rolling_reward(spark, sf_dir):
     """Mean of the last 10 logged step rewards at every checkpoint step."""
     s = step_log(spark, sf_dir)
-    r = s.withColumn("mean_reward_last10", rolling_mean(["run"], ["step"], "mean_reward", REWARD_WINDOW))
+    r = rolling(s, ["run"], "step", F.avg("mean_reward"), REWARD_WINDOW, "mean_reward_last10", BUCKET_STEPS)
     return r.filter(F.col("step") % CKPT_EVERY == 0).select("run", "step", "mean_reward_last10")
 
 
@@ -112,9 +123,8 @@ lg AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY t
 
 def train_log(spark, sf_dir):
     """(run, step, loss, skip): events as a training log; 'error' = skipped step."""
-    e = read_table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("run"), F.row_number().over(w).alias("step"),
+    e = _event_positions(spark, sf_dir)
+    return e.select(F.col("user_id").alias("run"), (F.col("pos") + 1).cast("int").alias("step"),
                     F.col("value").alias("loss"), (F.col("event_type") == "error").alias("skip"))
 
 
@@ -125,7 +135,8 @@ SELECT run, step, round(loss, 6) AS loss, skipped::BIGINT AS skipped FROM c WHER
 def q_cumulative_skips(spark, sf_dir):
     """Logged steps carry the running count of skipped steps."""
     lg = train_log(spark, sf_dir)
-    c = lg.withColumn("skipped", running_sum(["run"], ["step"], F.col("skip").cast("int")).cast("bigint"))
+    c = bucketed_running_sum(lg, ["run"], "step", F.col("skip").cast("int"), "skipped", BUCKET_STEPS) \
+        .withColumn("skipped", F.col("skipped").cast("bigint"))
     return c.filter(~F.col("skip")).select("run", F.col("step").cast("bigint").alias("step"), "loss", "skipped")
 
 
