@@ -150,3 +150,38 @@ def q_required_values(spark, sf_dir):
     j = d.join(lab, "doc_id", "left")
     return violations(j, {"missing_label": F.col("_has").isNull(),
                           "empty_text": F.col("text").isNull() | (F.col("text") == "")})
+
+
+@register("vector_file_roundtrip", """
+WITH ex AS (SELECT unnest(range(len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings)
+SELECT dim::INTEGER AS dim, round(avg(x), 6) AS mean FROM ex GROUP BY dim""")
+def q_vector_file_roundtrip(spark, sf_dir):
+    """The corpus mean saved as a one-row table and loaded back."""
+    from ..operators.vectors import vector_mean, vector_mean_long
+    from ..sources.io import load_vector, save_vector
+    e = read_table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("vec"))
+    path = scratch_path(spark, f"vectors/mean-{uuid.uuid4().hex}")
+    save_vector(vector_mean(e, "vec"), path)
+    return vector_mean_long(load_vector(spark, path))
+
+
+@register("multi_position_table", """
+WITH t AS (SELECT doc_id, least(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')), 512) AS L FROM documents),
+c AS (SELECT doc_id, L, least(50, L - 1) AS m FROM t),
+s AS (SELECT doc_id, list_slice(generate_series(m, L - 2, greatest(1, (L - 1 - m) // 4)), 1, 4) AS ps FROM c WHERE L - 1 - m > 0),
+p AS (SELECT doc_id, unnest(ps) AS pos FROM s)
+SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs, sum(pos)::BIGINT AS pos_sum FROM p""")
+def q_multi_position_table(spark, sf_dir):
+    """S7 + F8: extra-position rows written to the ``<stem>_multi`` sibling of
+    an output table and read back."""
+    from ..functions.text import tokens
+    from ..operators.corpus import sample_positions
+    from ..sources.io import write_sibling
+    d = read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.least(F.size(tokens("text")), F.lit(512)).alias("L"))
+    rows = d.select("doc_id", F.explode(sample_positions("L", 4, 50)).alias("pos"))
+    out = scratch_path(spark, f"extract/{uuid.uuid4().hex}/activations.parquet")
+    p = write_sibling(rows, out)
+    back = spark.read.parquet(p)
+    return back.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("doc_id").alias("n_docs"),
+                    F.sum("pos").cast("bigint").alias("pos_sum"))

@@ -46,3 +46,27 @@ def write_csv_log(df: DataFrame, path: str) -> None:
 
 def read_csv_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def sibling_path(path: str, suffix: str = "_multi") -> str:
+    """``<dir>/<stem><suffix><ext>`` next to an output table."""
+    import os
+    root, ext = os.path.splitext(path.rstrip("/"))
+    return f"{root}{suffix}{ext}"
+
+
+def write_sibling(df: DataFrame, path: str, suffix: str = "_multi") -> str:
+    """Write extra rows (e.g. multi-position rows) beside the main table;
+    appended, so a resumed run keeps earlier rows (reference quirk Q3)."""
+    p = sibling_path(path, suffix)
+    df.write.mode("append").parquet(p)
+    return p
+
+
+def save_vector(df: DataFrame, path: str) -> None:
+    """A vector (e.g. the corpus mean) as a one-row Parquet table."""
+    df.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_vector(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
