@@ -96,3 +96,13 @@ def test_bucketed_windows_equal_plain(spark):
     ref = df.withColumn("c", F.sum("v").over(Window.partitionBy("run").orderBy("step")))
     b = bucketed_running_sum(df, ["run"], "step", F.col("v"), "c2", 9)
     assert ref.join(b.select("run", "step", "c2"), ["run", "step"]).filter(F.col("c") != F.col("c2")).count() == 0
+
+
+def test_ntile_arithmetic_matches_window(spark):
+    from pyspark.sql import Window
+    from vecprobe.operators.rollouts import ntile_of
+    rows = [(n, p) for n in range(1, 23) for p in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "n long, p long")
+    w = df.withColumn("t", F.ntile(4).over(Window.partitionBy("n").orderBy("p")))
+    bad = w.filter(ntile_of(F.col("p"), F.col("n"), 4) != F.col("t")).count()
+    assert bad == 0

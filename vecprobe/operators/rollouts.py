@@ -120,13 +120,25 @@ def sustained(df: DataFrame, part_cols, order_col: str, flag: Column, k: int = 2
             .agg(F.max("_streak").alias("sustained")))
 
 
+def ntile_of(pos, n, k: int) -> Column:
+    """ntile(k) of the 1-based position ``pos`` among ``n`` rows, as arithmetic
+    (tiles differ by at most one row; the first n mod k tiles are larger)."""
+    q = F.floor(n / F.lit(k))
+    rem = n - q * F.lit(k)
+    big = rem * (q + 1)
+    return F.when(pos <= big, F.floor((pos - 1) / (q + 1)) + 1) \
+        .otherwise(rem + F.floor((pos - big - 1) / q) + 1).cast("int")
+
+
 def quartile_means(df: DataFrame, part_cols, order_col: str, value_col: str) -> DataFrame:
-    """Mean per ntile(4) bucket of the steps, plus the overall max."""
-    w = Window.partitionBy(*part_cols).orderBy(order_col)
-    q = df.withColumn("quartile", F.ntile(4).over(w))
-    mx = df.groupBy(*part_cols).agg(F.max(value_col).alias("max_reward"))
-    return (q.groupBy(*part_cols, "quartile").agg(F.avg(value_col).alias("mean_reward"))
-            .join(mx, list(part_cols)))
+    """Mean per ntile(4) bucket of the steps, plus the overall max.
+
+    ``order_col`` must be a dense 1..n position (as rollout steps are), so the
+    tile is arithmetic on a per-run count instead of a per-run sorted window."""
+    stats = df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("_n"), F.max(value_col).alias("max_reward"))
+    q = df.join(stats, list(part_cols)).withColumn("quartile", ntile_of(F.col(order_col), F.col("_n"), 4))
+    return q.groupBy(*part_cols, "quartile").agg(F.avg(value_col).alias("mean_reward"),
+                                                 F.first("max_reward").alias("max_reward"))
 
 
 def loss_trend(df: DataFrame, part_cols, step_col: str, loss_col: str,
