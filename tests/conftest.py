@@ -18,9 +18,9 @@ def spark():
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="vecprobe-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from vecprobe.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(s)
     yield s
+    from vecprobe.session import clear_scratch
+    clear_scratch(s)
 
 
 SF_SMALL = "/root/testdata/sf0.001"

@@ -1,10 +1,10 @@
-"""Session helpers: a sensible local session for tests/bench and a shared
-checkpoint folder taken from ``spark.checkpoint.dir``."""
+"""Session helpers: a local session for tests and bench, and tables written to
+the shared folder that the cluster names in ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,30 +33,50 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    shared_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    The cluster names that folder; we only pick our own (under the system
-    temp folder) when it is unset, which happens in local tests."""
+    It is ``spark.checkpoint.dir`` of the session, else the folder the caller
+    set on the context. Only a ``local`` master, where both sides are one
+    process, may fall back to a temporary folder; a cluster without a shared
+    folder is an error, as each node has its own ``/tmp``."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="vecprobe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if d:
+        return d
+    sc = spark.sparkContext
+    chosen = sc._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    d = tempfile.mkdtemp(prefix="vecprobe-shared-")
+    spark.conf.set("spark.checkpoint.dir", d)
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never localCheckpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path for an intermediate table, in this application's own folder of
+    the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/vecprobe-{spark.sparkContext.applicationId}/{name}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name)
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and read it back:
+    later stages prune columns, push filters and know sizes, and a lost
+    executor costs a reread, not a rebuild."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; call it once the
+    results have been written."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, ""))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
