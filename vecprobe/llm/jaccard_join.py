@@ -57,16 +57,16 @@ def _digest(h: np.ndarray) -> tuple[int, int]:
 
 
 def _keys(h: np.ndarray, hot: np.ndarray, rank: np.ndarray, order: int) -> np.ndarray:
-    """Sort keys of shingles under one order: a hashed value below 2**62, or
-    2**62 plus the frequency rank of a hot shingle. The lowest bit names the
-    order, so keys of different orders never meet."""
-    k = mix(h ^ _SALT[order]) >> U(2)
+    """Sort keys of shingles under one order: a hashed value below 2**61, or
+    2**61 plus the frequency rank of a hot shingle, shifted by one bit that
+    names the order, so keys of different orders never meet."""
+    k = mix(h ^ _SALT[order]) >> U(3)
     if len(hot) and len(h):
         at = np.searchsorted(hot, h)
         at[at == len(hot)] = 0
         is_hot = hot[at] == h
-        k[is_hot] = (U(1) << U(62)) + rank[at[is_hot]]
-    return (k << U(1) | U(order)) & U((1 << 63) - 1)
+        k[is_hot] = (U(1) << U(61)) + rank[at[is_hot]]
+    return k << U(1) | U(order)
 
 
 def _prefix(h: np.ndarray, hot, rank, order: int, percent: int) -> np.ndarray:
