@@ -3,15 +3,34 @@ table. None has oracle SQL unless listed in ``LLM_ORACLE``."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 from .jaccard_join import jaccard_groups
+from .packing import pack
+from .token_counts import section_tokens
+from .transducer import bpe_digests
+
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2048)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"), size=5, percent=80)
 
 
-LLM_QUERIES = {f.__name__: f for f in (op10_ngram_jaccard,)}
+LLM_QUERIES = {f.__name__: f for f in (
+    op2_best_fit_packing, op5_token_counts, op9_bpe_transducer, op10_ngram_jaccard)}
 LLM_ORACLE: dict[str, str] = {}
