@@ -15,11 +15,12 @@ last in both, the rest follow two independent hash permutations.
    repeated key sends one head row to the shuffle; its other documents are
    known to share the key and travel salted by document. A streaming pass over
    the sorted keys drops keys of a single document.
-3. Star round: under the first order, every document of a key is paired with
-   one centre of the key: a linear number of pairs that connects groups of near copies. The pairs
-   are tested against the prefix of the second order and verified.
+3. Star rounds: every document of a key is paired with one centre of the key in
+   another component, if they share keys under *both* orders and their sizes
+   allow it; each document keeps its best centre. These few pairs are verified
+   and connect groups of near copies.
 4. Exhaustive round: keys that still span several components give all pairs
-   between different components; only pairs found under *both* orders (an
+   between different components; only pairs found under both orders (an
    intersection of the two pair tables) are verified. No pair inside a
    component is formed, so a group of m near copies does not cost m**2 pairs,
    and no link between components is lost.
@@ -39,6 +40,8 @@ from .components import components
 from .textbuf import U, mix, shingle_sets, slices
 
 ORDERS = 2
+#: Rounds of star pairs before the exhaustive one; they only save work.
+STAR_ROUNDS = 2
 #: Shingles that the orders place last: at most this many are broadcast (1 MB).
 HOT = 1 << 17
 #: Partners that one task verifies against one copy of a centre's set.
@@ -168,12 +171,12 @@ def _live(batches):
         last, last_center = int(k[-1]), int(centers[run_of[-1]])
 
 
-def _verify(size: int, percent: int, hot, rank):
+def _verify(size: int, percent: int):
     """Rows sorted by (center, salt, role): a centre's set, then its partners."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        at, mine, mine_prefix = None, None, None
+        at, mine = None, None
         for b in batches:
             center, salt = b.column("center").to_numpy(), b.column("salt").to_numpy()
             role, doc = b.column("role").to_numpy(), b.column("doc").to_numpy()
@@ -182,16 +185,10 @@ def _verify(size: int, percent: int, hot, rank):
                 for i, h in enumerate(shingle_sets(s, size), s.start):
                     if role[i] == 0:
                         at, mine = (center[i], salt[i]), h
-                        mine_prefix = [_prefix(h, hot.value, rank.value, o, percent) for o in range(1, ORDERS)]
                         continue
                     if at != (center[i], salt[i]):
                         continue
                     n, m = len(mine), len(h)
-                    if 100 * min(n, m) < percent * max(n, m):
-                        continue
-                    if not all(np.isin(_prefix(h, hot.value, rank.value, o, percent), p).any()
-                               for o, p in enumerate(mine_prefix, 1)):
-                        continue
                     both = len(np.intersect1d(mine, h, assume_unique=True))
                     if 100 * both >= percent * (n + m - both):
                         pairs.append((int(center[i]), int(doc[i])))
@@ -222,21 +219,16 @@ class JaccardJoin:
         self.classes = cut_lineage(sets.join(rep, key, "left").select("doc_id", "cls", "n"), "classes")
 
     def postings(self) -> DataFrame:
-        """Live prefix postings of all orders over class representatives:
-        (key, doc, center, n)."""
+        """Live prefix postings of all orders over class representatives: (key, doc, n)."""
         p = self.docs.mapInArrow(_post(self.size, self.percent, self.hot, self.rank),
                                  "key long, doc long, center long")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         place = F.when(F.col("center").isNotNull() & (F.col("center") != F.col("doc")), F.xxhash64("key", "doc")) \
             .otherwise(F.xxhash64("key"))
         live = (p.repartition(parts, place).sortWithinPartitions("key")
-                .mapInArrow(_live, "key long, doc long, center long"))
-        live = cut_lineage(live, "postings")
-        own = self.classes.select(F.col("doc_id").alias("doc"), "cls", "n").filter("cls is not null")
-        of_center = self.classes.select(F.col("doc_id").alias("center"), F.col("cls").alias("center_cls"))
-        return cut_lineage(live.join(own, "doc").join(of_center, "center")
-                           .select("key", F.col("cls").alias("doc"), F.col("center_cls").alias("center"), "n")
-                           .distinct(), "postings")
+                .mapInArrow(_live, "key long, doc long, center long").select("key", "doc"))
+        own = self.classes.filter("cls is not null").select(F.col("doc_id").alias("doc"), "cls", "n")
+        return cut_lineage(live.join(own, "doc").select("key", F.col("cls").alias("doc"), "n").distinct(), "postings")
 
     def _texts(self, need: DataFrame) -> DataFrame:
         """Documents that may be in ``need.doc``, by a fixed-size bitmap that
@@ -268,33 +260,57 @@ class JaccardJoin:
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         return (rows.repartition(parts, "center", "salt").sortWithinPartitions("center", "salt", "role", "doc")
                 .select("center", "salt", "role", "doc", "text")
-                .mapInArrow(_verify(self.size, self.percent, self.hot, self.rank), "a long, b long"))
+                .mapInArrow(_verify(self.size, self.percent), "a long, b long"))
 
-    def links(self) -> DataFrame:
-        """Verified pairs (a, b) of representatives whose components are those
-        of all pairs with similarity of at least ``percent``."""
-        live = self.postings()
-        first = F.col("key").bitwiseAND(1) == 0
-        star = (live.filter(first & (F.col("doc") != F.col("center")))
-                .select(F.least("doc", "center").alias("a"), F.greatest("doc", "center").alias("b")).distinct())
-        linked = cut_lineage(self.verify(star), "links")
-        comp = components(linked, "a", "b")
-        rows = (live.select("key", "doc", "n").distinct()
-                .join(comp.withColumnRenamed("id", "doc"), "doc", "left")
+    def _spanning(self, live: DataFrame, comp: DataFrame | None) -> DataFrame:
+        """(key, doc, n, comp) of the keys that span several components."""
+        if comp is None:
+            return live.withColumn("comp", F.col("doc"))
+        rows = (live.join(comp.withColumnRenamed("id", "doc"), "doc", "left")
                 .withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id"))
-        rows = cut_lineage(rows, "spanning")
         span = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        rows = rows.join(span, "key", "left_semi")
+        return cut_lineage(rows.join(span, "key", "left_semi"), "spanning")
+
+    def _alike(self, n: str, m: str) -> str:
+        return f"100 * least({n}, {m}) >= {self.percent} * greatest({n}, {m})"
+
+    def star_pairs(self, rows: DataFrame) -> DataFrame:
+        """For each document at most one pair with a centre of another component."""
+        center = rows.groupBy("key").agg(F.min(F.struct("comp", "doc", "n")).alias("c"))
+        shared = (rows.join(center, "key").filter("comp <> c.comp").filter(self._alike("n", "c.n"))
+                  .groupBy("doc", F.col("c.doc").alias("center"))
+                  .agg(*[F.count_if(F.col("key").bitwiseAND(1) == o).alias(f"k{o}") for o in range(ORDERS)]))
+        total = sum(F.col(f"k{o}") for o in range(ORDERS))
+        best = (shared.filter(" and ".join(f"k{o} > 0" for o in range(ORDERS)))
+                .groupBy("doc").agg(F.max(F.struct(total.alias("k"), (-F.col("center")).alias("c"))).alias("m")))
+        return best.select((-F.col("m.c")).alias("a"), F.col("doc").alias("b"))
+
+    def all_pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs of documents of different components that share keys under
+        every order."""
         found = None
         for order in range(ORDERS):
             r = rows.filter(F.col("key").bitwiseAND(1) == order)
             x, y = (r.select("key", F.col("doc").alias(d), F.col("comp").alias(f"{d}_comp"), F.col("n").alias(f"{d}_n"))
                     for d in ("a", "b"))
-            pairs = (x.join(y, "key").filter("a_comp < b_comp")
-                     .filter(f"100 * least(a_n, b_n) >= {self.percent} * greatest(a_n, b_n)")
+            pairs = (x.join(y, "key").filter("a_comp < b_comp").filter(self._alike("a_n", "b_n"))
                      .select("a", "b").distinct())
             found = pairs if found is None else found.join(pairs, ["a", "b"])
-        return linked.unionByName(self.verify(found))
+        return found
+
+    def links(self) -> DataFrame:
+        """Verified pairs (a, b) of representatives whose components are those
+        of all pairs with similarity of at least ``percent``."""
+        live = self.postings()
+        comp, linked = None, None
+        for make in (*[self.star_pairs] * STAR_ROUNDS, self.all_pairs):
+            live_rows = self._spanning(live, comp)
+            found = cut_lineage(self.verify(make(live_rows)), "links")
+            linked = found if linked is None else linked.unionByName(found)
+            if make is not self.all_pairs:
+                live = live_rows.select("key", "doc", "n")
+                comp = components(linked, "a", "b")
+        return linked
 
     def members(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""

@@ -5,24 +5,47 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from .embedding_graph import near_duplicates
+from .fingerprints import fingerprint_versions
 from .jaccard_join import jaccard_groups
+from .language_id import identify_languages, remainder
 from .packing import pack
+from .quality_ranker import score_documents
 from .token_counts import section_tokens
 from .transducer import bpe_digests
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2048)
 
 
+def op4_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(remainder(5) == 0, F.lit(True))
+    out = score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), ~held)
+    return out.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_versions(read_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -32,5 +55,6 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op2_best_fit_packing, op5_token_counts, op9_bpe_transducer, op10_ngram_jaccard)}
+    op1_language_id, op2_best_fit_packing, op4_quality_ranker, op5_token_counts, op7_embedding_graph, op8_fingerprints,
+    op9_bpe_transducer, op10_ngram_jaccard)}
 LLM_ORACLE: dict[str, str] = {}
