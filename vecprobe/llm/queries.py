@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
+from . import chat_format
 from .embedding_graph import near_duplicates
 from .fingerprints import fingerprint_versions
 from .jaccard_join import jaccard_groups
@@ -38,6 +39,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts consist of control strings."""
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), "
+                      "(-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.conversation_digests(chat_format.format_conversations(turns))
+
+
 def op7_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.95)
 
@@ -55,6 +64,6 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_best_fit_packing, op4_quality_ranker, op5_token_counts, op7_embedding_graph, op8_fingerprints,
+    op1_language_id, op2_best_fit_packing, op4_quality_ranker, op5_token_counts, op6_chat_format, op7_embedding_graph, op8_fingerprints,
     op9_bpe_transducer, op10_ngram_jaccard)}
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {"op6_chat_format": chat_format.ORACLE_SQL}
