@@ -3,22 +3,23 @@ table. None has oracle SQL unless listed in ``LLM_ORACLE``."""
 
 from __future__ import annotations
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import chat_format
+from . import parameters as P
 from .embedding_graph import near_duplicates
 from .fingerprints import fingerprint_versions
 from .jaccard_join import jaccard_groups
 from .language_id import identify_languages, remainder
 from .packing import pack
+from .pii_surrogates import replace_pii
 from .quality_ranker import score_documents
 from .token_counts import section_tokens
 from .transducer import bpe_digests
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +27,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2048)
+    return pack(read_table(spark, sf_dir, "documents"), P.WORD_BPE, P.SEQUENCE_TOKENS)
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, P.PII_KEY, count_as="n_entities")
 
 
 def op4_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +42,7 @@ def op4_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return section_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return section_tokens(read_table(spark, sf_dir, "documents"), P.BYTE_BPE)
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +54,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "embeddings"), 0.95)
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"), P.COSINE)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,14 +62,14 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return bpe_digests(read_table(spark, sf_dir, "documents"), P.BYTE_BPE)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_groups(read_table(spark, sf_dir, "documents"), size=5, percent=80)
+    return jaccard_groups(read_table(spark, sf_dir, "documents"), P.SHINGLE_WORDS, P.SIMILARITY_PERCENT)
 
 
 LLM_QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_best_fit_packing, op4_quality_ranker, op5_token_counts, op6_chat_format, op7_embedding_graph, op8_fingerprints,
-    op9_bpe_transducer, op10_ngram_jaccard)}
+    op1_language_id, op2_best_fit_packing, op3_pii_surrogates, op4_quality_ranker, op5_token_counts, op6_chat_format, op7_embedding_graph, op8_fingerprints,
+    op9_bpe_transducer, op10_ngram_jaccard)} | {"pipeline": corpus_pipeline.run}
 LLM_ORACLE: dict[str, str] = {"op6_chat_format": chat_format.ORACLE_SQL}
