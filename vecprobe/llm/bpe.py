@@ -16,8 +16,8 @@ import numpy as np
 
 from .textbuf import Slice, SpanHash
 
-#: Words kept per Python worker before its cache starts afresh (about 150 MB).
-CACHE_WORDS = 1 << 20
+#: Words kept per Python worker before its cache starts afresh (about 50 MB).
+CACHE_WORDS = 1 << 18
 #: Longer words merge one by one with a heap instead of in a matrix.
 MATRIX_BYTES = 96
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
