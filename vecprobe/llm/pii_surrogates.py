@@ -45,6 +45,11 @@ _SYLLABLES = {"latin": ["ba", "do", "fe", "ga", "ki", "lo", "ma", "ne", "pi", "r
               "cyrillic": ["ба", "до", "фе", "га", "ки", "ло", "ма", "не", "пи", "ра", "со", "та", "ве", "ви", "зо", "лу"]}
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
 def kind(e: Column) -> Column:
     return (F.when(F.contains(e, F.lit("@")), "email")
             .when(e.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$"), "ip")
@@ -55,52 +60,46 @@ def kind(e: Column) -> Column:
 
 def normal(e: Column) -> Column:
     """The form that mentions of one entity share: lower case, or digits only."""
-    digits = F.regexp_replace(e, "[^0-9]", "")
-    return F.when(kind(e).isin("number", "phone"), digits).otherwise(F.lower(e))
+    return F.when(kind(e).isin("number", "phone"), F.regexp_replace(e, "[^0-9]", "")).otherwise(F.lower(e))
 
 
 def _keyed(secret: Column, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", secret, *parts).cast("binary"), 256)
 
 
-def _byte(h: Column, i: Column, n: int) -> Column:
-    """A number below n from the i-th byte of a hex digest, counting round."""
-    at = F.pmod(i, F.lit(32)) * 2 + 1
-    return F.pmod(F.conv(F.substr(h, at, F.lit(2)), 16, 10).cast("int"), F.lit(n))
+def _byte(h: Column, i: Column) -> Column:
+    """The i-th byte of a hex digest, counting round."""
+    return F.conv(F.substr(h, F.pmod(i, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
 def _chars(e: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.char_length(e)), lambda i: F.substr(e, i, F.lit(1)))
+    return F.split(e, "(?!^)")
 
 
 def _join(parts: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def _like(e: Column, h: Column) -> Column:
+def _like(e: Column, digest: Column) -> Column:
     """Letters and digits replaced one by one, of the same script and case."""
-    def swap(c: Column, i: Column) -> Column:
-        def letter(alphabet: str) -> Column:
-            return F.substr(F.lit(alphabet), _byte(h, i, len(alphabet)) + 1, F.lit(1))
-
-        new = (F.when(c.rlike("[0-9]"), _byte(h, i, 10).cast("string"))
+    def swap(c: Column, n: Column) -> Column:
+        letter = lambda alphabet: F.substr(F.lit(alphabet), F.pmod(n, F.lit(len(alphabet))) + 1, F.lit(1))
+        new = (F.when(c.rlike("[0-9]"), F.pmod(n, F.lit(10)).cast("string"))
                .when(c.rlike(r"\p{IsCyrillic}"), letter("абвгдежзиклмнопрстуфхцчш"))
                .when(c.rlike(r"\p{IsGreek}"), letter("αβγδεζηθικλμνξοπρστυφχψω"))
                .when(c.rlike(r"\p{L}"), letter("abcdefghijklmnopqrstuvwxyz")).otherwise(c))
-        return F.when(c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
+        return let(new, lambda x: F.when(c.rlike(r"\p{Lu}"), F.upper(x)).otherwise(x))
 
-    return F.when(e == "", "").otherwise(_join(F.transform(_chars(e), swap)))
+    return let(digest, lambda h: _join(F.transform(_chars(e), lambda c, i: let(_byte(h, i), lambda n: swap(c, n)))))
 
 
 def _check_digit(payload: Column) -> Column:
-    n = F.char_length(payload)
-
-    def add(acc: Column, i: Column) -> Column:
-        d = F.substr(payload, i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
-        return acc + F.when(F.pmod(n - i, F.lit(2)) == 0, twice).otherwise(d)
+    def add(acc: Column, i: Column, n: Column) -> Column:
+        d = F.substr(payload, i, F.lit(1)).cast("int") * F.when(F.pmod(n - i, F.lit(2)) == 0, 2).otherwise(1)
+        return let(d, lambda x: acc + x - F.when(x > 9, 9).otherwise(0))
 
-    return F.pmod(10 - F.pmod(F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add), F.lit(10)), F.lit(10)).cast("string")
+    total = let(F.char_length(payload), lambda n: F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: add(acc, i, n)))
+    return F.pmod(-total, F.lit(10)).cast("string")
 
 
 def _into_format(e: Column, digits: Column) -> Column:
@@ -113,17 +112,15 @@ def _into_format(e: Column, digits: Column) -> Column:
 
 
 def _email(e: Column, secret: Column, attempt: Column) -> Column:
-    at = F.instr(e, "@")
-    local, domain = F.substr(e, F.lit(1), at - 1), F.substr(e, at + 1)
-    top = F.substring_index(domain, ".", -1)
-    host = F.substr(domain, F.lit(1), F.char_length(domain) - F.char_length(top) - 1)
+    local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
+    host, top = F.regexp_extract(domain, r"^(.*)\.", 1), F.substring_index(domain, ".", -1)
     return F.concat(_like(local, _keyed(secret, F.lit("local"), F.lower(e), attempt)), F.lit("@"),
                     _like(host, _keyed(secret, F.lit("host"), F.lower(domain))), F.lit("."), top)
 
 
 def _ip(e: Column, secret: Column, attempt: Column) -> Column:
-    h = _keyed(secret, F.lit("ip"), e, attempt)
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(h, i, 254) + 1).cast("string")), ".")
+    octets = lambda h: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(_byte(h, i), F.lit(254)) + 1).cast("string"))
+    return F.array_join(let(_keyed(secret, F.lit("ip"), e, attempt), octets), ".")
 
 
 def _secret(e: Column, secret: Column, attempt: Column) -> Column:
@@ -133,44 +130,49 @@ def _secret(e: Column, secret: Column, attempt: Column) -> Column:
 
 
 def _digits(e: Column, secret: Column, attempt: Column) -> Column:
-    keep = F.regexp_extract(e, r"^(\+[0-9]{1,3})[ .(-]", 1)
-    body = F.substr(e, F.char_length(keep) + 1)
-    old = F.regexp_replace(body, "[^0-9]", "")
-    new = F.substr(F.translate(_keyed(secret, F.lit("digits"), normal(e), attempt), "abcdef", "283917"), F.lit(1), F.char_length(old))
+    keep, body = F.regexp_extract(e, r"^(\+[0-9]{1,3})[ .(-]", 1), F.regexp_replace(e, r"^\+[0-9]{1,3}(?=[ .(-])", "")
+    stream = F.translate(_keyed(secret, F.lit("digits"), F.regexp_replace(e, "[^0-9]", ""), attempt), "abcdef", "283917")
     payload = lambda d: F.substr(d, F.lit(1), F.char_length(d) - 1)
-    valid = (F.char_length(old) >= 13) & (_check_digit(payload(old)) == F.substr(old, F.char_length(old), F.lit(1)))
-    new = F.when(valid, F.concat(payload(new), _check_digit(payload(new)))).otherwise(new)
-    return F.concat(keep, _into_format(body, new))
+
+    def put(b: Column, old: Column) -> Column:
+        card = (F.char_length(old) >= 13) & (let(payload(old), _check_digit) == F.substr(old, F.char_length(old), F.lit(1)))
+        checked = lambda n: F.when(card, let(payload(n), lambda x: F.concat(x, _check_digit(x)))).otherwise(n)
+        new = let(F.substr(stream, F.lit(1), F.char_length(old)), checked)
+        return let(new, lambda n: _into_format(b, n))
+
+    return F.concat(keep, let(body, lambda b: let(F.regexp_replace(b, "[^0-9]", ""), lambda old: put(b, old))))
 
 
 def _name(e: Column, secret: Column, attempt: Column) -> Column:
-    words = F.split(e, " ")
-    title = F.regexp_replace(words[0], r"\.$", "")
-    titled = title.isin(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
-    gender = (F.when(title.isin(MALE_TITLES + MALE_NAMES), "m").when(title.isin(FEMALE_TITLES + FEMALE_NAMES), "f").otherwise("x"))
+    ends = {"latin": ("n", "na", "ler"), "cyrillic": ("н", "на", "лин")}
 
-    def new_word(w: Column, i: Column) -> Column:
-        last = i == F.size(words) - 1
-        sex = F.when(last, "x").otherwise(gender)
-        h = _keyed(secret, F.lit("name"), F.lower(w), sex, attempt)
-        cyrillic = w.rlike(r"\p{IsCyrillic}")
+    def made(h: Column, script: str, sex: Column) -> Column:
+        table = F.array(*[F.lit(x) for x in _SYLLABLES[script]])
+        parts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.element_at(table, F.pmod(_byte(h, k), F.lit(16)) + 1))
+        end = F.when(sex == "m", ends[script][0]).when(sex == "f", ends[script][1]).otherwise(ends[script][2])
+        return F.initcap(F.concat(_join(parts), end))
 
-        def made(script: str, ends: dict) -> Column:
-            table = F.array(*[F.lit(x) for x in _SYLLABLES[script]])
-            parts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.element_at(table, _byte(h, k, 16) + 1))
-            end = F.when(sex == "m", ends["m"]).when(sex == "f", ends["f"]).otherwise(ends["x"])
-            return F.initcap(F.concat(_join(parts), end))
+    def new_word(w: Column, sex: Column) -> Column:
+        make = lambda h: F.when(w.rlike(r"\p{IsCyrillic}"), made(h, "cyrillic", sex)).otherwise(made(h, "latin", sex))
+        new = let(_keyed(secret, F.lit("name"), F.lower(w), sex, attempt), make)
+        return let(new, lambda n: F.when((F.char_length(w) > 1) & (w == F.upper(w)), F.upper(n)).otherwise(n))
 
-        new = F.when(cyrillic, made("cyrillic", {"m": "н", "f": "на", "x": "лин"})).otherwise(made("latin", {"m": "n", "f": "na", "x": "ler"}))
-        return F.when((F.char_length(w) > 1) & (w == F.upper(w)), F.upper(new)).otherwise(new)
+    def rename(title: Column) -> Column:
+        titled = title.isin(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
+        gender = F.when(title.isin(MALE_TITLES + MALE_NAMES), "m").when(title.isin(FEMALE_TITLES + FEMALE_NAMES), "f").otherwise("x")
+        last = F.size(F.split(e, " ")) - 1
+        word = lambda w, i: F.when((i == 0) & titled, w).otherwise(let(F.when(i == last, "x").otherwise(gender), lambda g: new_word(w, g)))
+        return F.array_join(F.transform(F.split(e, " "), word), " ")
 
-    return F.array_join(F.transform(words, lambda w, i: F.when((i == 0) & titled, w).otherwise(new_word(w, i))), " ")
+    return let(F.regexp_replace(F.substring_index(e, " ", 1), r"\.$", ""), rename)
 
 
 def surrogate(e: Column, secret: Column, attempt: Column) -> Column:
-    a, k = attempt.cast("string"), kind(e)
-    return (F.when(k == "email", _email(e, secret, a)).when(k == "ip", _ip(e, secret, a)).when(k == "secret", _secret(e, secret, a))
-            .when(k == "name", _name(e, secret, a)).otherwise(_digits(e, secret, a)))
+    def of(k: Column, a: Column) -> Column:
+        return (F.when(k == "email", _email(e, secret, a)).when(k == "ip", _ip(e, secret, a)).when(k == "secret", _secret(e, secret, a))
+                .when(k == "name", _name(e, secret, a)).otherwise(_digits(e, secret, a)))
+
+    return let(attempt.cast("string"), lambda a: let(kind(e), lambda k: of(k, a)))
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
@@ -185,16 +187,17 @@ def moved_entities(found: DataFrame, key: str) -> DataFrame | None:
     e = found.select(F.explode("_found").alias("e")).select(kind(F.col("e")).alias("kind"), normal(F.col("e")).alias("normal"), "e")
     e = cut_lineage(e.groupBy("kind", "normal").agg(F.min("e").alias("e")), "entities")
     at = e.withColumn("attempt", F.lit(0))
+    real = e.select("kind", F.col("normal").alias("new"), F.lit(True).alias("real"))
     while True:
-        new = at.withColumn("new", normal(surrogate(F.col("e"), F.lit(key), F.col("attempt"))))
+        at = cut_lineage(at.withColumn("s", surrogate(F.col("e"), F.lit(key), F.col("attempt"))), "surrogates")
+        new = at.withColumn("new", normal(F.col("s")))
         first = new.groupBy("kind", "new").agg(F.min("normal").alias("first"))
-        real = e.select("kind", F.col("normal").alias("new"), F.lit(True).alias("real"))
-        clash = (new.join(first, ["kind", "new"]).join(real, ["kind", "new"], "left")
-                 .withColumn("clash", F.coalesce("real", F.lit(False)) | (F.col("normal") != F.col("first"))))
-        at = cut_lineage(clash.select("kind", "normal", "e", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"), "clash"), "attempts")
-        if at.filter("clash").isEmpty():
+        clash = cut_lineage(new.join(first, ["kind", "new"]).join(real, ["kind", "new"], "left")
+                            .filter("real or normal <> first").select("kind", "normal", F.lit(1).alias("move")), "clashes")
+        if clash.isEmpty():
             break
-        at = at.drop("clash")
+        at = (at.join(clash, ["kind", "normal"], "left")
+              .select("kind", "normal", "e", (F.col("attempt") + F.coalesce("move", F.lit(0))).alias("attempt")))
     moved = at.filter("attempt > 0").select("kind", "normal", "attempt")
     return None if moved.isEmpty() else moved
 
