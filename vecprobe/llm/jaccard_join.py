@@ -2,8 +2,9 @@
 
 A document is the set of its distinct 5-word shingles (64-bit hashes; see
 ``textbuf.shingle_sets``). Sets with Jaccard similarity >= t share, under
-*every* total order of all shingles, one of their first n - ceil(t n) + 1
-shingles. Two orders are used: shingles that are frequent in the corpus come
+*every* total order of all shingles, at least T of their first
+n - ceil(t n) + T shingles; T grows with the size of the set, which rules out
+pairs that share no more than a passage. Two orders are used: shingles that are frequent in the corpus come
 last in both, the rest follow two independent hash permutations.
 
 1. One pass over the texts gives each document's set size and a 128-bit digest
@@ -32,27 +33,36 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .components import components
-from .textbuf import U, mix, shingle_sets, slices
+from .textbuf import U, mix, shingle_sets, slices, trim
 
 ORDERS = 2
 #: Rounds of star pairs before the exhaustive one; they only save work.
 STAR_ROUNDS = 2
-#: Shingles that the orders place last: at most this many are broadcast (1 MB).
-HOT = 1 << 17
+#: Shingles that the orders place last: at most this many are broadcast (6 MB).
+HOT = 1 << 19
+#: One more shared prefix shingle is asked for each so many shingles of a set.
+SHARED_PART = 20
+#: Documents of a batch whose shingles are counted together.
+COUNTED = 4000
 #: Partners that one task verifies against one copy of a centre's set.
 PARTNERS = 2_000
 FILTER_WORDS = 1 << 14  # 64-bit words of the filter of candidate documents (128 KB)
 _SALT = mix(np.arange(101, 101 + ORDERS, dtype=U))
 
 
+def least_shared(n: int) -> int:
+    """Shingles of a set's prefix that it shares at least with the prefix of any
+    partner of no smaller size (T in the module's text)."""
+    return 1 + n // SHARED_PART
+
+
 def prefix_length(n: int, percent: int) -> int:
-    """Shingles of a set of n that any partner must share one of."""
-    return n - -(-percent * n // 100) + 1
+    return min(n, n - -(-percent * n // 100) + least_shared(n))
 
 
 def _digest(h: np.ndarray) -> tuple[int, int]:
@@ -68,7 +78,7 @@ def _keys(h: np.ndarray, hot: np.ndarray, rank: np.ndarray, order: int) -> np.nd
         at = np.searchsorted(hot, h)
         at[at == len(hot)] = 0
         is_hot = hot[at] == h
-        k[is_hot] = (U(1) << U(61)) + rank[at[is_hot]]
+        k[is_hot] = (U(1) << U(61)) + rank[at[is_hot]].astype(U)
     return k << U(1) | U(order)
 
 
@@ -93,15 +103,20 @@ def _scan(size: int):
             c = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([*c, none, none], schema=schema)
-            all_ = np.sort(np.concatenate(seen))
-            head = np.flatnonzero(np.r_[True, all_[1:] != all_[:-1]]) if len(all_) else np.empty(0, int)
-            df = np.diff(np.r_[head, len(all_)])
-            # a shingle of one or two documents of a batch can wait its turn in hash order
-            often = np.flatnonzero(df >= 3)
-            often = often[np.argsort(-df[often], kind="stable")][:HOT]
-            none = pa.nulls(len(often), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [none, none, none, none, pa.array(all_[head[often]].view(np.int64)), pa.array(df[often])], schema=schema)
+            for at in range(0, len(seen), COUNTED):
+                all_ = np.sort(np.concatenate(seen[at:at + COUNTED]))
+                if not len(all_):
+                    continue
+                head = np.flatnonzero(np.r_[True, all_[1:] != all_[:-1]])
+                df = np.diff(np.r_[head, len(all_)])
+                # a shingle that occurs once here waits its turn in hash order
+                often = np.flatnonzero(df >= 2)
+                often = often[np.argsort(-df[often], kind="stable")][:HOT // 4]
+                none = pa.nulls(len(often), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [none, none, none, none, pa.array(all_[head[often]].view(np.int64)), pa.array(df[often])], schema=schema)
+            del seen
+            trim()
 
     return run
 
@@ -132,6 +147,8 @@ def _post(size: int, percent: int, hot, rank):
             many = np.diff(np.r_[head, len(k)]) > 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k), pa.array(d), pa.array(d[head[run_of]], mask=~many[run_of])], schema=schema)
+            del keys, docs, k, d, run_of
+            trim()
 
     return run
 
@@ -195,6 +212,7 @@ def _verify(size: int, percent: int):
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)],
                                                  schema=schema)
+            trim()
 
     return run
 
@@ -210,7 +228,7 @@ class JaccardJoin:
         top = (scan.filter("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df"))
                .orderBy(F.desc("df"), "shingle").limit(HOT).select("shingle").toPandas()["shingle"])
         hot = top.to_numpy(dtype=np.int64).view(U)
-        rank = np.arange(len(hot), 0, -1).astype(U)  # the more frequent, the later
+        rank = np.arange(len(hot), 0, -1).astype(np.uint32)  # the more frequent, the later
         by = np.argsort(hot)
         self.hot, self.rank = sc.broadcast(hot[by]), sc.broadcast(rank[by])
         sets = scan.filter("doc_id is not null").select("doc_id", "n", "d1", "d2")
@@ -274,14 +292,18 @@ class JaccardJoin:
     def _alike(self, n: str, m: str) -> str:
         return f"100 * least({n}, {m}) >= {self.percent} * greatest({n}, {m})"
 
+    def _least(self, n: str, m: str, part: int) -> Column:
+        return F.floor(F.least(n, m) / part) + 1
+
     def star_pairs(self, rows: DataFrame) -> DataFrame:
-        """For each document at most one pair with a centre of another component."""
+        """For each document at most one pair with a centre of another component
+        (asking for half the shared keys, as a centre is not that of every key)."""
         center = rows.groupBy("key").agg(F.min(F.struct("comp", "doc", "n")).alias("c"))
         shared = (rows.join(center, "key").filter("comp <> c.comp").filter(self._alike("n", "c.n"))
-                  .groupBy("doc", F.col("c.doc").alias("center"))
+                  .groupBy("doc", F.col("c.doc").alias("center"), self._least("n", "c.n", 2 * SHARED_PART).alias("need"))
                   .agg(*[F.count_if(F.col("key").bitwiseAND(1) == o).alias(f"k{o}") for o in range(ORDERS)]))
         total = sum(F.col(f"k{o}") for o in range(ORDERS))
-        best = (shared.filter(" and ".join(f"k{o} > 0" for o in range(ORDERS)))
+        best = (shared.filter(" and ".join(f"k{o} >= need" for o in range(ORDERS)))
                 .groupBy("doc").agg(F.max(F.struct(total.alias("k"), (-F.col("center")).alias("c"))).alias("m")))
         return best.select((-F.col("m.c")).alias("a"), F.col("doc").alias("b"))
 
@@ -294,7 +316,8 @@ class JaccardJoin:
             x, y = (r.select("key", F.col("doc").alias(d), F.col("comp").alias(f"{d}_comp"), F.col("n").alias(f"{d}_n"))
                     for d in ("a", "b"))
             pairs = (x.join(y, "key").filter("a_comp < b_comp").filter(self._alike("a_n", "b_n"))
-                     .select("a", "b").distinct())
+                     .groupBy("a", "b", self._least("a_n", "b_n", SHARED_PART).alias("need")).agg(F.count("*").alias("k"))
+                     .filter("k >= need").select("a", "b"))
             found = pairs if found is None else found.join(pairs, ["a", "b"])
         return found
 

@@ -8,6 +8,7 @@ whatever its length."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+
+
+def trim() -> None:
+    """Hand freed memory back to the system; idle Python workers then hold
+    little. Does nothing where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 U = np.uint64
 
 
