@@ -24,6 +24,8 @@ from .textbuf import Slice, U, mix, text_batches
 DIMS = 1 << 16
 #: Expected rows per language that the weights are fitted on.
 PER_LANGUAGE = 1500
+#: So many language counts are broadcast at most.
+LANGUAGES = 100_000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 1e-3, 1e-3
 #: Scale of relative term frequencies, so that usual feature values are near 1.
 SCALE = 100.0
@@ -150,6 +152,9 @@ class Model:
               .groupBy("feature").agg(F.sum("n").alias("n")).toPandas())
         share = F.lit(float(PER_LANGUAGE)) / F.col("of_lang")
         draw = F.pmod(F.xxhash64(F.lit("language-id"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
+        per = cut_lineage(per, "languages")
+        if per.count() <= LANGUAGES:  # else the texts are joined by language
+            per = F.broadcast(per)
         sample = cut_lineage(rows.drop("learn").join(per, "lang").filter(draw < share).drop("of_lang"), "sample")
         sample = sample.mapInArrow(_sparse_rows, "doc_id long, lang string, tune boolean, idx binary, val binary").toPandas()
         if not len(sample):
