@@ -27,6 +27,11 @@ def hash_int(*parts) -> Column:
     return F.conv(F.substring(hash_key(*parts), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_long(*parts) -> Column:
+    """Integer draw in [0, 2^60): first 15 hex digits of the md5 key."""
+    return F.conv(F.substring(hash_key(*parts), 1, 15), 16, 10).cast("bigint")
+
+
 def hash_unit(*parts) -> Column:
     """Uniform draw in [0, 1)."""
     return hash_int(*parts) / F.lit(4294967296.0)

@@ -44,9 +44,3 @@ def unit(vec, eps: float = 1e-9) -> Column:
 def zero_fill(vec, d: int) -> Column:
     """missing vector -> zeros of width d."""
     return F.coalesce(as_double(vec), F.array_repeat(F.lit(0.0), d))
-
-
-def layer_slice(vec, layer, width: int) -> Column:
-    """Fixture helper: the k-th width-wide slice of a vector (1-based slice)."""
-    start = _c(layer) * F.lit(width) + F.lit(1) if not isinstance(layer, int) else F.lit(layer * width + 1)
-    return F.slice(as_double(vec), start, F.lit(width))

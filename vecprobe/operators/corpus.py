@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import hash_key
 from ..functions.text import py_strip
-from .indexing import dense_index, hex_bucket
+from .indexing import buckets_for, dense_index, hex_bucket
 
 
 def text_presence(df: DataFrame, text_col: str, group_cols=()) -> DataFrame:
@@ -19,10 +19,6 @@ def text_presence(df: DataFrame, text_col: str, group_cols=()) -> DataFrame:
                               F.count_if(~missing).alias("n_usable"))
 
 
-def usable_text(df: DataFrame, text_col: str) -> DataFrame:
-    return df.filter(F.col(text_col).isNotNull() & (F.col(text_col) != ""))
-
-
 def min_length_filter(df: DataFrame, text_col: str, min_exclusive: int = 20) -> DataFrame:
     """keep rows whose stripped text is longer than ``min_exclusive``."""
     return df.filter(F.length(py_strip(F.col(text_col))) > min_exclusive)
@@ -95,11 +91,12 @@ def cap_domain_share(df: DataFrame, domain_col: str, domain: str, share: float,
     (so it makes up at most ``share`` of the result), chosen by the md5 order of
     (seed, key). The rank comes from a distributed dense index, so a domain
     holding most rows is never gathered in one task."""
-    n_other = df.filter(F.col(domain_col) != domain).agg(F.count(F.lit(1)).alias("_no"))
-    hot = df.filter(F.col(domain_col) == domain).withColumn("_h", hash_key(F.lit(seed), F.col(key_col)))
-    ranked = dense_index(hot, ["_h", key_col], [], "_rank", hex_bucket("_h", 64))
+    is_hot = F.col(domain_col).eqNullSafe(domain)  # a missing domain is another domain
+    n_other = df.filter(~is_hot).agg(F.count(F.lit(1)).alias("_no"))
+    hot = df.filter(is_hot).withColumn("_h", hash_key(F.lit(seed), F.col(key_col)))
+    ranked = dense_index(hot, ["_h", key_col], [], "_rank", hex_bucket("_h", buckets_for(hot.count())))
     cap = n_other.select(F.floor(F.col("_no") * F.lit(share / (1.0 - share))).alias("_cap"))
     kept = (ranked.withColumn("_one", F.lit(1))
             .join(F.broadcast(cap.withColumn("_one", F.lit(1))), "_one")
             .filter(F.col("_rank") < F.col("_cap")).select(*df.columns))
-    return df.filter(F.col(domain_col) != domain).unionByName(kept)
+    return df.filter(~is_hot).unionByName(kept)

@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 200_000
+ROWS_PER_BUCKET = 50_000
 
 
 def hex_bucket(hex_col, n_buckets: int) -> Column:
-    """Monotone bucket of an md5 hex key: leading 6 hex digits scaled to n."""
+    """Monotone bucket of an md5 hex key: leading 8 hex digits scaled to n."""
     c = F.col(hex_col) if isinstance(hex_col, str) else hex_col
-    lead = F.conv(F.substring(c, 1, 6), 16, 10).cast("bigint")
-    return (lead * F.lit(n_buckets) / F.lit(16 ** 6)).cast("int")
+    lead = F.conv(F.substring(c, 1, 8), 16, 10).cast("bigint")
+    return F.floor(lead * F.lit(n_buckets) / F.lit(16 ** 8))
 
 
 def dense_index(df: DataFrame, order_cols, group_cols=(), name: str = "idx",
@@ -51,12 +51,13 @@ def id_range_bucket(df: DataFrame, id_col: str, n_buckets: int) -> tuple[DataFra
     d = (df.withColumn("_one", F.lit(1))
          .join(F.broadcast(rng.withColumn("_one", F.lit(1))), "_one").drop("_one"))
     b = ((F.col(id_col) - F.col("_lo")).cast("double") * F.lit(n_buckets)
-         / (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")).cast("int")
+         / (F.col("_hi") - F.col("_lo") + F.lit(1)).cast("double")).cast("bigint")
     return d, b
 
 
 def buckets_for(n_rows: int) -> int:
-    return max(1, min(4096, n_rows // ROWS_PER_BUCKET + 1))
+    """Buckets of about ROWS_PER_BUCKET rows; their number has no ceiling."""
+    return n_rows // ROWS_PER_BUCKET + 1
 
 
 def range_index(df: DataFrame, order_cols, group_cols, name: str, numeric_col,
@@ -67,8 +68,6 @@ def range_index(df: DataFrame, order_cols, group_cols, name: str, numeric_col,
     by many tasks."""
     n = n_rows if n_rows is not None else df.count()
     nb = buckets_for(n)
-    if nb == 1:
-        return dense_index(df, order_cols, group_cols, name)
     d = df.withColumn("_rk", numeric_col)
     d, b = id_range_bucket(d, "_rk", nb)
     return dense_index(d, order_cols, group_cols, name, b).drop("_rk", "_lo", "_hi")

@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import as_double, l2_norm, unit, dot
 from ..session import cut_lineage
+from .indexing import buckets_for, dense_index, hex_bucket
 
 
 class NN(NamedTuple):
@@ -147,17 +148,11 @@ def row_pairs(nn: NN) -> DataFrame:
     return other.unionByName(copies)
 
 
-def term_ids(*entry_frames: DataFrame, term_col: str = "term"):
-    """64-bit term ids (xxhash64) for sparse blocks, with an exactness check:
-    returns (frames with ``tid``, ok) where ok is False if two distinct terms
-    of these frames share an id (callers then fall back to joining on term)."""
-    framed = [f.withColumn("tid", F.xxhash64(term_col)) for f in entry_frames]
-    terms = None
-    for f in framed:
-        t = f.select(term_col, "tid").distinct()
-        terms = t if terms is None else terms.unionByName(t).distinct()
-    c = terms.agg(F.count(F.lit(1)).alias("nt"), F.countDistinct("tid").alias("nh")).first()
-    return framed, c.nt == c.nh
+def term_ids(terms: DataFrame, n_terms: int, group_cols=(), term_col: str = "term") -> DataFrame:
+    """(group..., term, tid): exact dense ids of distinct terms, numbered in
+    md5-prefix buckets."""
+    h = terms.withColumn("_h", F.md5(F.col(term_col)))
+    return dense_index(h, ["_h", term_col], group_cols, "tid", hex_bucket("_h", buckets_for(n_terms))).drop("_h")
 
 
 def sparse_block_scores(q_item, q_tid, q_w, c_item, c_tid, c_w, dense_factor: float = 30.0):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.random import hash_int, hash_key, hash_unit
+from ..functions.random import hash_int, hash_key, hash_long, hash_unit
 from .common import join_group
 
 
@@ -48,27 +48,23 @@ def pick_variant(rows: DataFrame, key_cols, variants: DataFrame, order_col: str,
         "_nv", "_rank", "_variant")
 
 
-def _pool_candidates(a: DataFrame, pool_size, quota, to_gidx, by_g: DataFrame, seed: int,
-                     tag: str) -> DataFrame:
-    """Bounded candidate list for one pool: (id, neg_id, _o). The whole pool
-    when it is at most 4x the quota (ranked by md5), else 4*quota+8 md5
-    draws into the pool's index space (ranked by draw number)."""
-    full = pool_size <= F.lit(4) * quota
-    n_cand = F.when(full, pool_size).otherwise(F.lit(4) * quota + F.lit(8))
-    d = (a.filter((quota > 0) & (pool_size > 0))
-         .withColumn("_t", F.explode(F.sequence(F.lit(0), n_cand - 1))))
-    j = F.when(full, F.col("_t")).otherwise(
-        F.pmod(hash_int(F.lit(seed), F.col("id"), F.lit(tag), F.col("_t")), pool_size))
-    d = d.withColumn("_g", to_gidx(j)).join(by_g, "_g")
-    order = F.when(full, hash_key(F.lit(seed), F.col("id"), F.lit(tag), F.col("neg_id"))) \
-        .otherwise(F.format_string("%012d", F.col("_t")))
-    return d.groupBy("id", "neg_id").agg(F.min(order).alias("_o"))
+# The smallest primes above 2**40; each is coprime to any smaller pool size.
+STRIDES = [1099511627791, 1099511627803, 1099511627831, 1099511627873,
+           1099511627891, 1099511627917, 1099511627933, 1099511627953]
 
 
-def _take(c: DataFrame, quota: DataFrame) -> DataFrame:
-    w = Window.partitionBy("id").orderBy("_o", "neg_id")
-    return (c.join(quota, "id").withColumn("_r", F.row_number().over(w))
-            .filter(F.col("_r") <= F.col("_q")).select("id", "neg_id"))
+def _pool_images(a: DataFrame, pool_size, n_images, to_gidx, by_g: DataFrame, seed: int, tag: str) -> DataFrame:
+    """(id, neg_id, _o): the first ``n_images`` images of a keyed bijection of
+    the pool's index, t -> (start + t * stride) mod size with start and stride
+    drawn by anchor. Images never repeat, so any quota up to the size fills."""
+    d = (a.filter((n_images > 0) & (pool_size > 0))
+         .withColumn("_t", F.explode(F.sequence(F.lit(0), F.least(n_images, pool_size).cast("int") - 1))))
+    start = F.pmod(hash_long(F.lit(seed), F.col("id"), F.lit(tag)), pool_size)
+    stride = F.element_at(F.array(*[F.lit(p) for p in STRIDES]),
+                          F.pmod(hash_int(F.lit(seed), F.col("id"), F.lit(tag), F.lit("stride")), F.lit(8)).cast("int") + 1)
+    j = F.pmod(start + F.col("_t") * F.pmod(stride, pool_size), pool_size)
+    return (d.withColumn("_g", to_gidx(j)).join(by_g, "_g")
+            .select("id", "neg_id", F.col("_t").alias("_o")))
 
 
 def domain_negatives(rows: DataFrame, id_col: str, domain_col: str, k: int, seed: int,
@@ -98,25 +94,26 @@ def domain_negatives(rows: DataFrame, id_col: str, domain_col: str, k: int, seed
     n_same = F.lit(0)
     if half > 0:
         q_s = F.least(F.lit(half), F.col("n_d") - 1)
-        same = _pool_candidates(a, F.col("n_d") - 1, q_s,
-                                lambda j: F.col("off") + F.when(j >= F.col("didx"), j + 1).otherwise(j),
-                                by_g, seed, "s")
-        parts.append(_take(same, a.select("id", q_s.alias("_q"))))
+        parts.append(_pool_images(a, F.col("n_d") - 1, q_s,
+                                  lambda j: F.col("off") + F.when(j >= F.col("didx"), j + 1).otherwise(j),
+                                  by_g, seed, "s").drop("_o"))
         n_same = q_s
     q_o = F.least(F.lit(k) - n_same, F.col("N") - F.col("n_d"))
     if domain_aware:
-        other = _pool_candidates(a, F.col("N") - F.col("n_d"), q_o,
-                                 lambda j: F.when(j < F.col("off"), j).otherwise(j + F.col("n_d")),
-                                 by_g, seed, "o")
-        parts.append(_take(other, a.select("id", q_o.alias("_q"))))
+        parts.append(_pool_images(a, F.col("N") - F.col("n_d"), q_o,
+                                  lambda j: F.when(j < F.col("off"), j).otherwise(j + F.col("n_d")),
+                                  by_g, seed, "o").drop("_o"))
     chosen = parts[0] if parts else a.select("id", F.col("id").alias("neg_id")).filter(F.lit(False))
     for p in parts[1:]:
         chosen = chosen.unionByName(p)
     have = chosen.groupBy("id").agg(F.count(F.lit(1)).alias("_nh"))
     b = a.join(have, "id", "left").withColumn("_nh", F.coalesce("_nh", F.lit(0)).cast("int"))
     need = F.least(F.lit(k) - F.col("_nh"), F.col("N") - 1 - F.col("_nh"))
-    pad_c = _pool_candidates(b.filter(need > 0), F.col("N") - 1, F.lit(k),
-                             lambda j: F.when(j >= F.col("gidx"), j + 1).otherwise(j), by_g, seed, "p")
+    # at most k of the first 2k images are chosen already, so k fresh ones remain
+    pad_c = _pool_images(b.filter(need > 0), F.col("N") - 1, F.lit(2 * k),
+                         lambda j: F.when(j >= F.col("gidx"), j + 1).otherwise(j), by_g, seed, "p")
     pad_c = pad_c.join(chosen, ["id", "neg_id"], "left_anti")
-    pad = _take(pad_c, b.select("id", need.alias("_q")))
+    w = Window.partitionBy("id").orderBy("_o")
+    pad = (pad_c.join(b.select("id", need.alias("_q")), "id").withColumn("_r", F.row_number().over(w))
+           .filter(F.col("_r") <= F.col("_q")).select("id", "neg_id"))
     return chosen.unionByName(pad)

@@ -138,11 +138,11 @@ def q_contamination_filter(spark, sf_dir):
 
 
 @register("cap_domain_share", f"""
-WITH o AS (SELECT count(*) AS n_other FROM documents WHERE lang <> 'en'),
+WITH o AS (SELECT count(*) AS n_other FROM documents WHERE lang IS DISTINCT FROM 'en'),
 h AS (SELECT doc_id, lang,
              row_number() OVER (ORDER BY md5(concat_ws('|', '0', doc_id::VARCHAR)), doc_id) - 1 AS rk
       FROM documents WHERE lang = 'en'),
-kept AS (SELECT doc_id, lang FROM documents WHERE lang <> 'en'
+kept AS (SELECT doc_id, lang FROM documents WHERE lang IS DISTINCT FROM 'en'
          UNION ALL
          SELECT doc_id, lang FROM h, o WHERE rk < floor(n_other * {DOMAIN_SHARE / (1 - DOMAIN_SHARE)!r}))
 SELECT lang, count(*) AS n, sum(doc_id)::BIGINT AS doc_id_sum FROM kept GROUP BY lang""")

@@ -8,11 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import layer_slice
 from ..sources.tables import read_table
 
 N_LAYERS = 4
-LAYER_WIDTH = 16
 
 
 def signal_doc(vec_col: str = "embedding"):
@@ -21,6 +19,17 @@ def signal_doc(vec_col: str = "embedding"):
     return (F.array_position(head, F.array_max(head)) - 1).cast("int")
 
 
+#: SQL of ``turn_key``.
+TURN_KEY_SQL = "(conv_id * (SELECT max(turn) + 1 FROM conversations) + turn)"
+
+
+def turn_key(turns: DataFrame):
+    """One integer per (conv_id, turn): turns are numbered in the base of the
+    longest conversation, so no two turns share a key."""
+    base = (turns.agg(F.max("turn")).first()[0] or 0) + 1
+    return F.col("conv_id") * F.lit(base) + F.col("turn")
+
+
 def signal_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, doc, vec): embeddings keyed by vec_id, doc = signal_doc."""
     e = read_table(spark, sf_dir, "embeddings")
@@ -36,10 +45,12 @@ def label_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layered_activations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(layer, id, doc, vec): layer k = components 16k+1 .. 16k+16; one long
-    table so every layer is evaluated in the same job."""
+    """(layer, id, doc, vec): layer k = the k-th of N_LAYERS equal slices of the
+    vector (rounded up, so every component is in a layer); one long table so
+    every layer is evaluated in the same job."""
     e = read_table(spark, sf_dir, "embeddings")
+    width = F.ceil(F.size("embedding") / N_LAYERS).cast("int")
     return (e.select(F.col("vec_id").alias("id"), signal_doc().alias("doc"), "embedding")
             .withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(N_LAYERS - 1))))
             .select("layer", "id", "doc",
-                    layer_slice("embedding", F.col("layer"), LAYER_WIDTH).alias("vec")))
+                    F.slice("embedding", F.col("layer") * width + 1, width).alias("vec")))

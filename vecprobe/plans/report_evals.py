@@ -16,7 +16,7 @@ from ..operators.retrieval import doc_top1, doc_top1_rows
 from ..operators.significance import perm_test_accuracy, perm_test_labels
 from ..session import cut_lineage
 from ..sources.tables import read_table
-from .fixtures import N_LAYERS, layered_activations
+from .fixtures import N_LAYERS, TURN_KEY_SQL, layered_activations
 from .registry import register
 from .sql_fragments import perm_ranks
 from .text_evals import _REWARD_SQL, _rewards, generated_texts
@@ -231,7 +231,7 @@ def _verdict_rows(spark, sf_dir):
 
 
 _VERDICT_SQL = _REWARD_SQL + f""",
-gt AS (SELECT conv_id * 100 + turn AS qid, text FROM conversations),
+gt AS (SELECT {TURN_KEY_SQL} AS qid, text FROM conversations),
 v AS (SELECT rr.*, substr(gt.text, 1, {VERDICT_PREFIX}) AS pre FROM rr JOIN gt USING (qid))"""
 
 
@@ -271,7 +271,7 @@ def q_rollout_verdict(spark, sf_dir):
 _LAYER_SQL = f"""
 lv AS (SELECT k::INTEGER AS layer, vec_id AS id,
               (list_position(list_slice(embedding, 1, 4), list_max(list_slice(embedding, 1, 4))) - 1)::INTEGER AS doc,
-              list_slice(embedding::DOUBLE[], 16 * k + 1, 16 * k + 16) AS v FROM embeddings, range({N_LAYERS}) t(k)),
+              list_slice(embedding::DOUBLE[], ((len(embedding) + 3) // 4) * k + 1, ((len(embedding) + 3) // 4) * k + ((len(embedding) + 3) // 4)) AS v FROM embeddings, range({N_LAYERS}) t(k)),
 lu AS (SELECT layer, id, doc, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-9)) AS u FROM lv),
 ls AS (SELECT a.layer, a.id, b.id AS nn_id, round(list_dot_product(a.u, b.u), 9) AS sim
        FROM lu a JOIN lu b ON a.layer = b.layer AND a.id <> b.id),
@@ -284,9 +284,7 @@ lrows AS (SELECT a.layer, a.id, a.doc, coalesce(bd.best_doc = a.doc AND c.doc_ro
 lobs AS (SELECT layer, sum(hit::INTEGER)::DOUBLE / count(*) AS doc_top1, sum(hit::INTEGER)::BIGINT AS hits, count(*) AS n,
                 count(DISTINCT doc) AS n_docs FROM lrows GROUP BY layer),
 llab AS (SELECT layer, id, doc, row_number() OVER (PARTITION BY layer ORDER BY id) - 1 AS idx FROM lv),
-lpr AS (SELECT layer, k AS perm, id,
-               row_number() OVER (PARTITION BY layer, k ORDER BY md5(concat_ws('|', '0', k::VARCHAR, id::VARCHAR)), id) - 1 AS src_idx
-        FROM lv, range({N_PERM_LAYERS}) t(k)),
+lpr AS ({perm_ranks(N_PERM_LAYERS, 0, 'lv', 'layer')}),
 lpl AS (SELECT lpr.layer, lpr.perm, lpr.id, llab.doc AS plab FROM lpr JOIN llab ON llab.layer = lpr.layer AND llab.idx = lpr.src_idx),
 lpb AS (SELECT nn.layer, nn.id, pl.perm, min(pl.plab) AS bl FROM lnn nn JOIN lpl pl ON pl.layer = nn.layer AND pl.id = nn.nn_id GROUP BY ALL),
 lph AS (SELECT pl.layer, pl.perm, sum(coalesce(pb.bl = pl.plab, false)::INTEGER) AS hits

@@ -43,7 +43,7 @@ def _event_positions(spark, sf_dir):
     """events + 0-based position inside the run by (ts, event_id), ranked in
     timestamp-range buckets when the table is large."""
     e = read_table(spark, sf_dir, "events")
-    return range_index(e, ["ts", "event_id"], ["user_id"], "pos", F.unix_micros("ts"))
+    return range_index(e, ["ts", "event_id"], ["user_id"], "pos", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
 def rollouts(spark, sf_dir):
@@ -124,7 +124,7 @@ lg AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY t
 def train_log(spark, sf_dir):
     """(run, step, loss, skip): events as a training log; 'error' = skipped step."""
     e = _event_positions(spark, sf_dir)
-    return e.select(F.col("user_id").alias("run"), (F.col("pos") + 1).cast("int").alias("step"),
+    return e.select(F.col("user_id").alias("run"), (F.col("pos") + 1).cast("bigint").alias("step"),
                     F.col("value").alias("loss"), (F.col("event_type") == "error").alias("skip"))
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators.common import join_group
 from ..operators.corpus import truncate_array
-from ..operators.sampling import (domain_negatives, pick_variant, seeded_sample, step_schedule,
+from ..operators.sampling import (STRIDES, domain_negatives, pick_variant, seeded_sample, step_schedule,
                                   token_dropout)
 from ..operators.significance import id_index
 from ..sources.tables import read_table
+from .fixtures import TURN_KEY_SQL, turn_key
 from .registry import register
 
 # Fixed values from the reference: eval sample size and seed, step seed
@@ -46,7 +47,7 @@ def q_step_schedule(spark, sf_dir):
 
 
 @register("token_dropout", f"""
-WITH t AS (SELECT conv_id * 100 + turn AS id,
+WITH t AS (SELECT {TURN_KEY_SQL} AS id,
                   list_slice(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), 1, {LABEL_TOKENS}) AS tok
            FROM conversations),
 k AS (SELECT id, tok, list_filter(tok, lambda x, i: (('0x' || substr(md5(concat_ws('|', '{STEP_SEED}', id::VARCHAR, (i - 1)::VARCHAR)), 1, 8))::UBIGINT / 4294967296.0) >= {DROPOUT}) AS kept FROM t)
@@ -56,7 +57,7 @@ FROM k""")
 def q_token_dropout(spark, sf_dir):
     """K7: label tokens (first 16) with seeded 30% dropout, first kept if all drop."""
     c = read_table(spark, sf_dir, "conversations")
-    t = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+    t = c.select(turn_key(c).alias("id"),
                  truncate_array(tokens("text"), LABEL_TOKENS).alias("tok"))
     k = t.select("id", token_dropout("tok", "id", DROPOUT, STEP_SEED).alias("kept"))
     return k.select("id", F.size("kept").alias("n_kept"), F.array_join("kept", " ").alias("kept"))
@@ -78,29 +79,24 @@ def q_paraphrase_pick(spark, sf_dir):
 
 
 def _negatives_sql(k: int, seed: int, domain_aware: bool) -> str:
-    """The negatives sampler in SQL: same md5 draws, regimes and pad step."""
+    """The negatives sampler in SQL: same draws and pad step."""
     dom = "source" if domain_aware else "''"
     half = k // 2 if domain_aware else 0
 
     def pool(src, ps, q, to_g, tag):
-        full = f"({ps} <= 4 * {q})"
-        h = f"(('0x' || substr(md5(concat_ws('|', '{seed}', id::VARCHAR, '{tag}', t::VARCHAR)), 1, 8))::UBIGINT % ({ps})::UBIGINT)::BIGINT"
+        start = f"(('0x' || substr(md5(concat_ws('|', '{seed}', id::VARCHAR, '{tag}')), 1, 15))::UBIGINT % ({ps})::UBIGINT)::BIGINT"
+        pick = f"(('0x' || substr(md5(concat_ws('|', '{seed}', id::VARCHAR, '{tag}', 'stride')), 1, 8))::UBIGINT % 8)::BIGINT + 1"
         return f"""
-  SELECT id, neg_id, min(o) AS o FROM (
-    SELECT x.id, byg.neg_id,
-           CASE WHEN x.isfull THEN md5(concat_ws('|', '{seed}', x.id::VARCHAR, '{tag}', byg.neg_id::VARCHAR))
-                ELSE lpad(x.t::VARCHAR, 12, '0') END AS o
-    FROM (SELECT *, {to_g.format(j='j')} AS g FROM (
-            SELECT *, CASE WHEN isfull THEN t ELSE {h} END AS j FROM (
-              SELECT *, {full} AS isfull, unnest(generate_series(0, CASE WHEN {full} THEN {ps} ELSE 4 * {q} + 8 END - 1)) AS t
-              FROM {src} WHERE {q} > 0 AND {ps} > 0))) x
-    JOIN byg ON byg.g = x.g)
-  GROUP BY id, neg_id"""
+  SELECT x.id, byg.neg_id, x.t AS o
+  FROM (SELECT *, {to_g.format(j='j')} AS g FROM (
+          SELECT *, ({start} + t * (({STRIDES}[{pick}])::BIGINT % ({ps}))) % ({ps}) AS j FROM (
+            SELECT *, unnest(generate_series(0, least({q}, {ps}) - 1)) AS t FROM {src} WHERE {q} > 0 AND {ps} > 0))) x
+  JOIN byg ON byg.g = x.g"""
 
     def take(cands, quota_src):
         return f"""
   SELECT id, neg_id FROM (
-    SELECT c.id, c.neg_id, row_number() OVER (PARTITION BY c.id ORDER BY c.o, c.neg_id) AS rn, qq.q
+    SELECT c.id, c.neg_id, row_number() OVER (PARTITION BY c.id ORDER BY c.o) AS rn, qq.q
     FROM ({cands}) c JOIN {quota_src} qq USING (id)) WHERE rn <= q"""
 
     parts = []
@@ -128,7 +124,7 @@ byg AS (SELECT gidx AS g, id AS neg_id FROM a2)"""]
     ctes.append("""b AS (SELECT a2.*, coalesce(h.nh, 0) AS nh FROM a2 LEFT JOIN
                  (SELECT id, count(*) AS nh FROM chosen GROUP BY id) h USING (id))""")
     ctes.append(f"pq AS (SELECT id, least({k} - nh, N - 1 - nh) AS q FROM b)")
-    pad_c = pool(f"(SELECT * FROM b WHERE least({k} - nh, N - 1 - nh) > 0)", "N - 1", str(k),
+    pad_c = pool(f"(SELECT * FROM b WHERE least({k} - nh, N - 1 - nh) > 0)", "N - 1", str(2 * k),
                  "CASE WHEN {j} >= gidx THEN {j} + 1 ELSE {j} END", "p")
     ctes.append(f"padc AS (SELECT * FROM ({pad_c}) p WHERE NOT EXISTS "
                 f"(SELECT 1 FROM chosen c WHERE c.id = p.id AND c.neg_id = p.neg_id))")

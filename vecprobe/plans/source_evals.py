@@ -56,7 +56,7 @@ def _two_batches(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     path = scratch_path(spark, f"append/{uuid.uuid4().hex}")
     append_parquet(d.filter(F.col("lang") == "en"), path)
-    append_parquet(d.filter(F.col("lang") != "en"), path)
+    append_parquet(d.filter(~F.col("lang").eqNullSafe("en")), path)
     return d, spark.read.parquet(path)
 
 
@@ -69,7 +69,7 @@ def q_incremental_append(spark, sf_dir):
 
 
 @register("resume_pending", """
-SELECT lang, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY lang""")
+SELECT lang, count(*) AS n FROM documents WHERE lang IS DISTINCT FROM 'en' GROUP BY lang""")
 def q_resume_pending(spark, sf_dir):
     """After a first batch (English) was written, only rows whose key
     is not in the output remain to be processed."""

@@ -57,9 +57,9 @@ def q_scale_vectors(spark, sf_dir):
 
 _LAYERED_SQL = """
 lv AS (SELECT k::INTEGER AS layer, vec_id AS id,
-              list_slice(embedding::DOUBLE[], 16 * k + 1, 16 * k + 16) AS v
+              list_slice(embedding::DOUBLE[], ((len(embedding) + 3) // 4) * k + 1, ((len(embedding) + 3) // 4) * k + ((len(embedding) + 3) // 4)) AS v
        FROM embeddings, range(4) t(k)),
-ex AS (SELECT layer, unnest(range(16)) AS dim, unnest(v) AS x FROM lv),
+ex AS (SELECT layer, unnest(range(len(v))) AS dim, unnest(v) AS x FROM lv),
 m AS (SELECT layer, list(mx ORDER BY dim) AS mean
       FROM (SELECT layer, dim, avg(x) AS mx FROM ex GROUP BY layer, dim) GROUP BY layer),
 j AS (SELECT lv.layer, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm,
@@ -98,13 +98,14 @@ def q_anisotropy_share(spark, sf_dir):
 
 @register("zero_fill_vectors", """
 SELECT d.doc_id, e.vec_id IS NOT NULL AS has_vec,
-       len(coalesce(e.embedding::DOUBLE[], list_transform(range(64), lambda i: 0.0::DOUBLE)))::INTEGER AS width,
-       round(sqrt(list_sum(list_transform(coalesce(e.embedding::DOUBLE[], list_transform(range(64), lambda i: 0.0::DOUBLE)), lambda x: x * x))), 6) AS norm
+       len(coalesce(e.embedding::DOUBLE[], list_transform(range((SELECT max(len(embedding)) FROM embeddings)), lambda i: 0.0::DOUBLE)))::INTEGER AS width,
+       round(sqrt(list_sum(list_transform(coalesce(e.embedding::DOUBLE[], list_transform(range((SELECT max(len(embedding)) FROM embeddings)), lambda i: 0.0::DOUBLE)), lambda x: x * x))), 6) AS norm
 FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def q_zero_fill_vectors(spark, sf_dir):
     """documents without a vector get a zero vector of the table width."""
     d = read_table(spark, sf_dir, "documents").select("doc_id")
     e = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    j = d.join(e, "doc_id", "left").withColumn("filled", zero_fill("embedding", 64))
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    j = d.join(e, "doc_id", "left").withColumn("filled", zero_fill("embedding", width))
     return j.select("doc_id", F.col("embedding").isNotNull().alias("has_vec"),
                     F.size("filled").alias("width"), l2_norm("filled").alias("norm"))
