@@ -46,7 +46,8 @@ pc AS (SELECT domain, count(*) AS n_used FROM capped GROUP BY domain),
 pn AS (SELECT pm.domain, pc.n_used, m, sqrt(list_sum(list_transform(m, lambda x: x * x))) AS mn FROM pm JOIN pc USING (domain) WHERE pc.n_used >= {MIN_PROTO}),
 protos AS (SELECT domain, n_used, list_transform(m, lambda x: x / (mn + 1e-9)) AS p FROM pn),
 protos2 AS (SELECT domain, n_used, p, list_transform(p, lambda x: x / (sqrt(list_sum(list_transform(p, lambda y: y * y))) + 1e-9)) AS pp FROM protos),
-sc AS (SELECT u.id, u.domain AS truth, protos2.domain AS cand, round(list_dot_product(u.u, protos2.pp), 9) AS s FROM u, protos2),
+sc AS (SELECT u.id, u.domain AS truth, protos2.domain AS cand, round(list_dot_product(u.u, protos2.pp), 9) AS s FROM u, protos2
+       WHERE u.domain IN (SELECT domain FROM protos)),
 scm AS (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM sc),
 pred AS (SELECT id, min(cand) AS pred, any_value(truth) AS truth, max(s) AS score FROM scm WHERE s = m GROUP BY id),
 ncov AS (SELECT count(*) AS n_covered FROM protos),
@@ -61,7 +62,9 @@ def _protos(spark, sf_dir):
 
 
 def _predictions(spark, sf_dir):
+    """only rows whose domain has a prototype are classified."""
     e, p = _protos(spark, sf_dir)
+    e = e.join(p.select(F.col("domain").alias("label")), "label", "left_semi")
     pr = nearest_prototype(e, "vec_id", "embedding", p)
     pred = (pr.join(e.select("vec_id", F.col("label").alias("truth")), "vec_id")
             .select(F.col("vec_id").alias("id"), "pred", "truth", "score"))
@@ -91,7 +94,7 @@ def q_excluded_domains(spark, sf_dir):
 WITH {_PROTO_SQL}
 SELECT id, pred, round(score, 6) AS score FROM pred""")
 def q_nearest_prototype(spark, sf_dir):
-    """Nearest prototype of every vector (first label on ties)."""
+    """Nearest prototype of every vector of a covered label (first label on ties)."""
     _, _, pred = _predictions(spark, sf_dir)
     return pred.select("id", "pred", "score")
 
@@ -158,7 +161,7 @@ def _tracking(spark, sf_dir):
     obs = accuracy(pred)
     pt = perm_test_accuracy(pred, obs, N_PERM_ACC, seed=0)
     k = p.agg(F.count(F.lit(1)).alias("n_covered"))
-    ex = excluded_domains(e, "label", p).agg(F.count(F.lit(1)).alias("n_excluded"))
+    ex = excluded_domains(read_table(spark, sf_dir, "embeddings"), "label", p).agg(F.count(F.lit(1)).alias("n_excluded"))
     nu = pred.agg(F.countDistinct("pred").alias("n_unique"))
     j = join_group(join_group(join_group(pt, k, ()), ex, ()), nu, ())
     lo, hi = wilson_bounds("hits", "n")
