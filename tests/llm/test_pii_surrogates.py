@@ -74,3 +74,22 @@ def test_clean_null_empty_and_long_texts_stay(spark):
     assert replace_pii(df, KEY).count() == 0
     plan = replace_pii(spark.createDataFrame([(1, "x")], "doc_id long, text string"), KEY)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "ArrowEval")) and PATTERN
+
+
+def test_a_surname_has_one_surrogate_in_all_mentions(spark):
+    names = ["".join("abcdefghijklmnop"[i // 16 ** k % 16] for k in range(3)).capitalize() + "q" for i in range(1500)]
+    forms = ["Mr {}", "Mr. {}", "Mrs {}", "Mr John {}", "Anna {}"]
+    out, _ = _run(spark, [" / ".join(f.format(n) for f in forms) for n in names])
+    last = [{m.split()[-1] for m in t.split(" / ")} for t in out]
+    assert all(len(x) == 1 for x in last) and len(set.union(*last)) == 1500 and not set.union(*last) & set(names)
+    assert len({t.split(" / ")[3].split()[1] for t in out}) == 1
+
+
+def test_names_and_short_entities_never_run_out(spark, monkeypatch):
+    from vecprobe.llm import pii_surrogates as m
+    monkeypatch.setattr(m, "_SYLLABLES", {"latin": ["ba", "do"] * 8, "cyrillic": ["ба", "до"] * 8})
+    names = [f"Mr {a}{b}q" for a in "ABCDEFGH" for b in "abcdefgh"]
+    emails = [f"{c}@b.example" for c in "abcdefghijklmnopqrstuvwxyzàáâãäåæçèé"]
+    out, _ = _run(spark, [*names, *emails, " and ".join(x.replace("Mr", "Mrs") for x in names)])
+    assert len(set(out[:100])) == 100 and all(re.fullmatch(r"[a-z]+@[a-z]\.example", x) for x in out[64:100])
+    assert out[100].replace("Mrs", "Mr").split(" and ") == out[:64]

@@ -9,8 +9,11 @@ names keep title, gender and script.
 
 Collision check: the distinct entities of all documents are compared with one
 another's surrogates and with the entities themselves; all but the smallest of
-those that collide move on to their next attempt until none collides. Only
-moved entities are joined back; all other surrogates need no join."""
+those that collide move on to their next attempt until none collides. Names are
+checked and moved word by word, so a word has one surrogate in every mention of
+it. Later attempts give longer surrogates (name words at once, others from the
+second), so no number of entities uses them up. Only moved entities are joined
+back; all other surrogates need no join."""
 
 from __future__ import annotations
 
@@ -103,7 +106,7 @@ def _check_digit(payload: Column) -> Column:
 
 
 def _into_format(e: Column, digits: Column) -> Column:
-    """``e`` with its digits replaced in order."""
+    """``e`` with its digits replaced in order, as far as it has any."""
     def put(c: Column, i: Column) -> Column:
         nth = F.char_length(F.regexp_replace(F.substr(e, F.lit(1), i + 1), "[^0-9]", ""))
         return F.when(c.rlike("[0-9]"), F.substr(digits, nth, F.lit(1))).otherwise(c)
@@ -111,8 +114,13 @@ def _into_format(e: Column, digits: Column) -> Column:
     return _join(F.transform(_chars(e), put))
 
 
+def _longer(attempt: Column) -> Column:
+    """Characters by which a surrogate outgrows its entity."""
+    return F.floor(attempt.cast("int") / 2).cast("int")
+
+
 def _email(e: Column, secret: Column, attempt: Column) -> Column:
-    local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
+    local, domain = F.concat(F.substring_index(e, "@", 1), F.repeat(F.lit("a"), _longer(attempt))), F.substring_index(e, "@", -1)
     host, top = F.regexp_extract(domain, r"^(.*)\.", 1), F.substring_index(domain, ".", -1)
     return F.concat(_like(local, _keyed(secret, F.lit("local"), F.lower(e), attempt)), F.lit("@"),
                     _like(host, _keyed(secret, F.lit("host"), F.lower(domain))), F.lit("."), top)
@@ -137,42 +145,71 @@ def _digits(e: Column, secret: Column, attempt: Column) -> Column:
     def put(b: Column, old: Column) -> Column:
         card = (F.char_length(old) >= 13) & (let(payload(old), _check_digit) == F.substr(old, F.char_length(old), F.lit(1)))
         checked = lambda n: F.when(card, let(payload(n), lambda x: F.concat(x, _check_digit(x)))).otherwise(n)
-        new = let(F.substr(stream, F.lit(1), F.char_length(old)), checked)
-        return let(new, lambda n: _into_format(b, n))
+        new = let(F.substr(stream, F.lit(1), F.char_length(old) + _longer(attempt)), checked)
+        return let(new, lambda n: F.concat(_into_format(b, n), F.substr(n, F.char_length(old) + 1, F.char_length(n))))
 
     return F.concat(keep, let(body, lambda b: let(F.regexp_replace(b, "[^0-9]", ""), lambda old: put(b, old))))
 
 
-def _name(e: Column, secret: Column, attempt: Column) -> Column:
+def _name_word(w: Column, sex: Column, secret: Column, attempt: Column) -> Column:
+    """The surrogate of one word of a name: a given name ("m", "f") or any other ("x")."""
     ends = {"latin": ("n", "na", "ler"), "cyrillic": ("н", "на", "лин")}
 
-    def made(h: Column, script: str, sex: Column) -> Column:
+    def made(h: Column, script: str) -> Column:
         table = F.array(*[F.lit(x) for x in _SYLLABLES[script]])
-        parts = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.element_at(table, F.pmod(_byte(h, k), F.lit(16)) + 1))
+        size = F.pmod(_byte(h, F.lit(31)), F.lit(4)) + 4 + attempt.cast("int")
+        parts = F.transform(F.sequence(F.lit(1), size), lambda k: F.element_at(table, F.pmod(_byte(h, k - 1), F.lit(16)) + 1))
         end = F.when(sex == "m", ends[script][0]).when(sex == "f", ends[script][1]).otherwise(ends[script][2])
         return F.initcap(F.concat(_join(parts), end))
 
-    def new_word(w: Column, sex: Column) -> Column:
-        make = lambda h: F.when(w.rlike(r"\p{IsCyrillic}"), made(h, "cyrillic", sex)).otherwise(made(h, "latin", sex))
-        new = let(_keyed(secret, F.lit("name"), F.lower(w), sex, attempt), make)
-        return let(new, lambda n: F.when((F.char_length(w) > 1) & (w == F.upper(w)), F.upper(n)).otherwise(n))
+    make = lambda h: F.when(w.rlike(r"\p{IsCyrillic}"), made(h, "cyrillic")).otherwise(made(h, "latin"))
+    new = let(_keyed(secret, F.lit("name"), F.lower(w), sex, attempt), make)
+    return let(new, lambda n: F.when((F.char_length(w) > 1) & (w == F.upper(w)), F.upper(n)).otherwise(n))
+
 
-    def rename(title: Column) -> Column:
-        titled = title.isin(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
-        gender = F.when(title.isin(MALE_TITLES + MALE_NAMES), "m").when(title.isin(FEMALE_TITLES + FEMALE_NAMES), "f").otherwise("x")
+def _name_words(e: Column, title, word) -> Column:
+    """The words of a name: ``title`` of a title, ``word`` of another and its sex."""
+    def of(first: Column) -> Column:
+        titled = first.isin(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
+        gender = F.when(first.isin(MALE_TITLES + MALE_NAMES), "m").when(first.isin(FEMALE_TITLES + FEMALE_NAMES), "f").otherwise("x")
         last = F.size(F.split(e, " ")) - 1
-        word = lambda w, i: F.when((i == 0) & titled, w).otherwise(let(F.when(i == last, "x").otherwise(gender), lambda g: new_word(w, g)))
-        return F.array_join(F.transform(F.split(e, " "), word), " ")
+        each = lambda w, i: F.when((i == 0) & titled, title(w)).otherwise(let(F.when(i == last, "x").otherwise(gender), lambda g: word(w, g)))
+        return F.transform(F.split(e, " "), each)
+
+    return let(F.regexp_replace(F.substring_index(e, " ", 1), r"\.$", ""), of)
+
+
+def _name_key(w: Column, sex: Column) -> Column:
+    return F.concat_ws(" ", sex, F.lower(w))
+
+
+def entity_parts(e: Column) -> Column:
+    """(kind, normal, e) of what is checked on its own: the words of a name, or ``e``."""
+    part = lambda k, n, x: F.struct(k.alias("kind"), n.alias("normal"), x.alias("e"))
+    none = F.lit(None).cast("struct<kind:string,normal:string,e:string>")
+    words = F.filter(_name_words(e, lambda w: none, lambda w, g: part(F.lit("name"), _name_key(w, g), w)), lambda x: x.isNotNull())
+    return let(kind(e), lambda k: F.when(k == "name", words).otherwise(F.array(part(k, normal(e), e))))
+
+
+def _unnamed(k: Column, e: Column, secret: Column, a: Column) -> Column:
+    return (F.when(k == "email", _email(e, secret, a)).when(k == "ip", _ip(e, secret, a)).when(k == "secret", _secret(e, secret, a))
+            .otherwise(_digits(e, secret, a)))
+
 
-    return let(F.regexp_replace(F.substring_index(e, " ", 1), r"\.$", ""), rename)
+def part_surrogate(kind: Column, normal: Column, e: Column, secret: Column, attempt: Column) -> Column:
+    """The surrogate of one of the ``entity_parts``."""
+    return let(attempt.cast("string"), lambda a: F.when(kind == "name", _name_word(e, F.substring(normal, 1, 1), secret, a))
+               .otherwise(_unnamed(kind, e, secret, a)))
 
 
-def surrogate(e: Column, secret: Column, attempt: Column) -> Column:
-    def of(k: Column, a: Column) -> Column:
-        return (F.when(k == "email", _email(e, secret, a)).when(k == "ip", _ip(e, secret, a)).when(k == "secret", _secret(e, secret, a))
-                .when(k == "name", _name(e, secret, a)).otherwise(_digits(e, secret, a)))
+def surrogate(e: Column, secret: Column, attempt) -> Column:
+    """``attempt`` gives that of a part's kind and normal form."""
+    def of(k: Column) -> Column:
+        word = lambda w, g: let(attempt(F.lit("name"), _name_key(w, g)).cast("string"), lambda a: _name_word(w, g, secret, a))
+        return (F.when(k == "name", F.array_join(_name_words(e, lambda w: w, word), " "))
+                .otherwise(let(attempt(k, normal(e)).cast("string"), lambda a: _unnamed(k, e, secret, a))))
 
-    return let(attempt.cast("string"), lambda a: let(kind(e), lambda k: of(k, a)))
+    return let(kind(e), of)
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
@@ -182,15 +219,15 @@ def find_entities(docs: DataFrame) -> DataFrame:
 
 
 def moved_entities(found: DataFrame, key: str) -> DataFrame | None:
-    """(kind, normal, attempt) of the entities that cannot take their first
-    surrogate; None if there are none."""
-    e = found.select(F.explode("_found").alias("e")).select(kind(F.col("e")).alias("kind"), normal(F.col("e")).alias("normal"), "e")
+    """(kind, normal, attempt) of the ``entity_parts`` that cannot take their
+    first surrogate; None if there are none."""
+    e = found.select(F.explode("_found").alias("e")).select(F.inline(entity_parts(F.col("e"))))
     e = cut_lineage(e.groupBy("kind", "normal").agg(F.min("e").alias("e")), "entities")
     at = e.withColumn("attempt", F.lit(0))
-    real = e.select("kind", F.col("normal").alias("new"), F.lit(True).alias("real"))
+    real = e.select("kind", F.when(F.col("kind") == "name", F.lower("e")).otherwise(F.col("normal")).alias("new"), F.lit(True).alias("real")).distinct()
     while True:
-        at = cut_lineage(at.withColumn("s", surrogate(F.col("e"), F.lit(key), F.col("attempt"))), "surrogates")
-        new = at.withColumn("new", normal(F.col("s")))
+        at = cut_lineage(at.withColumn("s", part_surrogate(F.col("kind"), F.col("normal"), F.col("e"), F.lit(key), F.col("attempt"))), "surrogates")
+        new = at.withColumn("new", F.when(F.col("kind") == "name", F.lower("s")).otherwise(normal(F.col("s"))))
         first = new.groupBy("kind", "new").agg(F.min("normal").alias("first"))
         clash = cut_lineage(new.join(first, ["kind", "new"]).join(real, ["kind", "new"], "left")
                             .filter("real or normal <> first").select("kind", "normal", F.lit(1).alias("move")), "clashes")
@@ -211,16 +248,15 @@ def replace_pii(docs: DataFrame, key: str, count_as: str | None = None) -> DataF
     gives no rows. Another ``key`` gives other surrogates."""
     found = find_entities(docs)
     moved = moved_entities(found.select("_found"), key)
-    attempt = lambda e: F.lit(0)
+    attempt = lambda kind, normal: F.lit(0)
     if moved is not None:
-        tag = F.struct(kind(F.col("e")).alias("kind"), normal(F.col("e")).alias("normal"))
         mine = (found.filter(F.size("_found") > 0).select(F.sha2("text", 256).alias("_text"), F.explode(F.array_distinct("_found")).alias("e"))
-                .select("_text", tag.alias("t")).select("_text", "t.*").distinct().join(moved, ["kind", "normal"])
+                .select("_text", F.inline(entity_parts(F.col("e")))).select("_text", "kind", "normal").distinct().join(moved, ["kind", "normal"])
                 .groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "normal"), "attempt"))).alias("_moved")))
         found = (found.withColumn("_text", F.when(F.size("_found") > 0, F.sha2("text", 256)))
                  .join(mine, "_text", "left").drop("_text"))
-        attempt = lambda e: F.coalesce(F.try_element_at(F.col("_moved"), F.concat_ws("|", kind(e), normal(e))), F.lit(0))
-    new = F.transform("_found", lambda e: surrogate(e, F.lit(key), attempt(e)))
+        attempt = lambda kind, normal: F.coalesce(F.try_element_at(F.col("_moved"), F.concat_ws("|", kind, normal)), F.lit(0))
+    new = F.transform("_found", lambda e: surrogate(e, F.lit(key), attempt))
     pieces = F.split("text", PATTERN, -1)
     mixed = F.zip_with(pieces, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
     out = found.withColumn("text", F.when(F.size("_found") > 0, F.array_join(mixed, "")).otherwise(F.col("text")))
