@@ -93,3 +93,10 @@ def test_names_and_short_entities_never_run_out(spark, monkeypatch):
     out, _ = _run(spark, [*names, *emails, " and ".join(x.replace("Mr", "Mrs") for x in names)])
     assert len(set(out[:100])) == 100 and all(re.fullmatch(r"[a-z]+@[a-z]\.example", x) for x in out[64:100])
     assert out[100].replace("Mrs", "Mr").split(" and ") == out[:64]
+
+
+def test_secrets_without_a_run_of_digits_are_found(spark):
+    found = ["deadbeef" * 4, "DEADBEEF" * 4, "a1b2c3d4e5f6" * 4, "ab" * 64]
+    out, rows = _run(spark, [f"key {e}" for e in found], count_as="n_found")
+    for e, t, r in zip(found, out, rows, strict=True):
+        assert r.n_found == 1 and e not in t and re.fullmatch("key [0-9a-f]+|key [0-9A-F]+", t) and len(t) == len(e) + 4

@@ -43,7 +43,7 @@ NAME = (rf"(?<![\p{{L}}\p{{N}}]){_ANY(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES
 #: Secrets and long numbers come before phones, so that none is found in part.
 PATTERN = "|".join([EMAIL, IP, SECRET, NUMBER, PHONE, NAME])
 #: Texts without a match of this cheap pattern have no entity.
-HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|" + _ANY(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES + MALE_NAMES + FEMALE_NAMES) + r"\b"
+HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|[0-9a-f]{32}|[0-9A-F]{32}|" + _ANY(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES + MALE_NAMES + FEMALE_NAMES) + r"\b"
 _SYLLABLES = {"latin": ["ba", "do", "fe", "ga", "ki", "lo", "ma", "ne", "pi", "ra", "so", "ta", "ve", "vi", "zo", "lu"],
               "cyrillic": ["ба", "до", "фе", "га", "ки", "ло", "ма", "не", "пи", "ра", "со", "та", "ве", "ви", "зо", "лу"]}
 
