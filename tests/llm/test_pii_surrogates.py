@@ -100,3 +100,25 @@ def test_secrets_without_a_run_of_digits_are_found(spark):
     out, rows = _run(spark, [f"key {e}" for e in found], count_as="n_found")
     for e, t, r in zip(found, out, rows, strict=True):
         assert r.n_found == 1 and e not in t and re.fullmatch("key [0-9a-f]+|key [0-9A-F]+", t) and len(t) == len(e) + 4
+
+
+def test_spellings_of_one_number_share_its_digits(spark):
+    spelled = [["+1 (499) 555-6503", "+14995556503", "+1 499 555 6503"], ["+44 20 7946 0958", "+442079460958"], ["+380 44 123 4567", "+380441234567"],
+               ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"], ["499-555-6503", "(499) 555-6503"]]
+    out, _ = _run(spark, [e for one in spelled for e in one])
+    out, digits = iter(out), []
+    for one in spelled:
+        new = [next(out) for _ in one]
+        assert all(re.sub("[0-9]", "9", x) == re.sub("[0-9]", "9", e) and x != e for x, e in zip(new, one, strict=True))
+        digits.append({re.sub("[^0-9+]", "", x) for x in new})
+    assert all(len(x) == 1 for x in digits) and len(set.union(*digits)) == len(spelled)
+    assert [min(x)[:n] for x, n in zip(digits, (2, 3, 4), strict=False)] == ["+1", "+44", "+380"]
+
+
+def test_checked_digits_cover_all_spellings(spark):
+    # many short numbers in two spellings: attempts are needed
+    pairs = [(f"+1 {i // 100:02d} {i % 100:02d}", f"+1{i:04d}") for i in range(0, 10_000, 25)]
+    out, _ = _run(spark, [f"{a} or {b}" for a, b in pairs])
+    new = [tuple(re.sub("[^0-9+]", "", x) for x in t.split(" or ")) for t in out]
+    assert all(a == b for a, b in new) and len({a for a, _ in new}) == len(pairs)
+    assert not {a for a, _ in new} & {b for _, b in pairs}

@@ -44,6 +44,8 @@ NAME = (rf"(?<![\p{{L}}\p{{N}}]){_ANY(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES
 PATTERN = "|".join([EMAIL, IP, SECRET, NUMBER, PHONE, NAME])
 #: Texts without a match of this cheap pattern have no entity.
 HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\+[0-9]|[0-9a-f]{32}|[0-9A-F]{32}|" + _ANY(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES + MALE_NAMES + FEMALE_NAMES) + r"\b"
+#: Country calling codes, none of which begins another.
+CALLING_CODE = "(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _SYLLABLES = {"latin": ["ba", "do", "fe", "ga", "ki", "lo", "ma", "ne", "pi", "ra", "so", "ta", "ve", "vi", "zo", "lu"],
               "cyrillic": ["ба", "до", "фе", "га", "ки", "ло", "ма", "не", "пи", "ра", "со", "та", "ве", "ви", "зо", "лу"]}
 
@@ -62,8 +64,9 @@ def kind(e: Column) -> Column:
 
 
 def normal(e: Column) -> Column:
-    """The form that mentions of one entity share: lower case, or digits only."""
-    return F.when(kind(e).isin("number", "phone"), F.regexp_replace(e, "[^0-9]", "")).otherwise(F.lower(e))
+    """The form that mentions of one entity share: lower case, or the digits
+    (after a plus if the number names its country)."""
+    return F.when(kind(e).isin("number", "phone"), F.regexp_replace(e, "[^0-9+]", "")).otherwise(F.lower(e))
 
 
 def _keyed(secret: Column, *parts: Column) -> Column:
@@ -138,17 +141,24 @@ def _secret(e: Column, secret: Column, attempt: Column) -> Column:
 
 
 def _digits(e: Column, secret: Column, attempt: Column) -> Column:
-    keep, body = F.regexp_extract(e, r"^(\+[0-9]{1,3})[ .(-]", 1), F.regexp_replace(e, r"^\+[0-9]{1,3}(?=[ .(-])", "")
-    stream = F.translate(_keyed(secret, F.lit("digits"), F.regexp_replace(e, "[^0-9]", ""), attempt), "abcdef", "283917")
+    """The new digits follow from the normal form alone, whatever the spelling."""
     payload = lambda d: F.substr(d, F.lit(1), F.char_length(d) - 1)
 
-    def put(b: Column, old: Column) -> Column:
+    def made(n: Column) -> Column:
+        stream = F.translate(_keyed(secret, F.lit("digits"), n, attempt), "abcdef", "283917")
+        keep = F.regexp_extract(n, rf"^\+({CALLING_CODE})", 1)
+        return let(F.regexp_replace(n, rf"^\+{CALLING_CODE}", ""), lambda old: F.concat(keep, replaced(old, stream)))
+
+    def replaced(old: Column, stream: Column) -> Column:
         card = (F.char_length(old) >= 13) & (let(payload(old), _check_digit) == F.substr(old, F.char_length(old), F.lit(1)))
-        checked = lambda n: F.when(card, let(payload(n), lambda x: F.concat(x, _check_digit(x)))).otherwise(n)
-        new = let(F.substr(stream, F.lit(1), F.char_length(old) + _longer(attempt)), checked)
-        return let(new, lambda n: F.concat(_into_format(b, n), F.substr(n, F.char_length(old) + 1, F.char_length(n))))
+        checked = lambda d: F.when(card, let(payload(d), lambda x: F.concat(x, _check_digit(x)))).otherwise(d)
+        return let(F.substr(stream, F.lit(1), F.char_length(old) + _longer(attempt)), checked)
+
+    def put(n: Column, new: Column) -> Column:
+        size = F.char_length(F.regexp_replace(n, r"\+", ""))
+        return F.concat(_into_format(e, new), F.substr(new, size + 1, F.char_length(new)))
 
-    return F.concat(keep, let(body, lambda b: let(F.regexp_replace(b, "[^0-9]", ""), lambda old: put(b, old))))
+    return let(F.regexp_replace(e, "[^0-9+]", ""), lambda n: let(made(n), lambda new: put(n, new)))
 
 
 def _name_word(w: Column, sex: Column, secret: Column, attempt: Column) -> Column:
