@@ -42,3 +42,32 @@ def test_empty_tables_null_ids_and_clashing_names(spark, rows):
                                "doc_id long, text string, component_id int, n int, key string")
     assert [tuple(r) for r in jaccard_groups(df).collect()] == [(i, 0, i) for i, _ in rows if i is not None]
     assert drop_near_duplicates(df).columns == df.columns
+
+
+def _kept(spark, rows):
+    df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, n int, key string").repartition(3)
+    out = drop_near_duplicates(df)
+    assert out.columns == df.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+@pytest.mark.parametrize("far", [0, 2**63 - 100, None])
+def test_drop_keeps_null_ids_and_one_row_of_each_group(spark, far):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = lambda t: t + " more"
+    rows = [(None, c), (None, c), (None, near(c)), (None, near(a)), (None, None), (None, "lone words"),
+            (5, a), (5, a), (5, b), (9, near(a)), (10, near(b)), (3, d), (3, d), (8, d), (11, near(d)), (12, None), (13, ""), (13, "")]
+    expect = [(5, a), (5, b), (3, d), (12, None), (13, ""), (None, None), (None, "lone words")]
+    if far is None:  # ids at both ends of the range leave no room
+        more = [(-2**63, "far words"), (2**63 - 1, "further words")]
+    else:
+        more = [(far + 90, "far words")]
+    kept = _kept(spark, rows + more)
+    assert [x for x in kept if x[1] not in (c, near(c))] == sorted(expect + more, key=str)
+    assert sum(x[1] in (c, near(c)) for x in kept) == 1
+
+
+def test_drop_of_repeated_rows_alone(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    assert _kept(spark, [(1, t), (1, t), (2, t), (3, "x y"), (3, "x y")]) == [(1, t), (3, "x y")]
+    assert _kept(spark, []) == []

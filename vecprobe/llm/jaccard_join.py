@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.indexing import buckets_for, dense_index, hex_bucket
 from ..session import cut_lineage
 from .components import components
 from .textbuf import U, mix, shingle_sets, slices, trim
@@ -355,10 +356,60 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     return JaccardJoin(docs, size, percent).members()
 
 
+def _row_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``docs`` with ``_row_key`` (long, never null), one for each pair of doc_id
+    and text: the doc_id, or a number that no doc_id has where the doc_id is
+    null or has several texts. Also the keys of several rows, and (_row_key,
+    _row_id) of the pairs that took a number; None if there are none."""
+    text = F.coalesce(F.concat(F.lit("1"), F.col("text")), F.lit("0"))
+    digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), text), 256)
+    pair = cut_lineage(docs.groupBy(F.col("doc_id").cast("long").alias("_row_id"), digest.alias("_row_digest"))
+                       .agg(F.count("*").alias("copies")), "rows")
+    several = pair.filter("_row_id is not null").groupBy("_row_id").agg(F.count("*").alias("texts")).filter("texts > 1").select("_row_id")
+    odd = cut_lineage(pair.filter("_row_id is null").unionByName(pair.join(several, "_row_id", "left_semi")).drop("copies"), "odd")
+    n, (low, high) = odd.count(), pair.agg(F.min("_row_id"), F.max("_row_id")).first()
+    if not n:
+        return (docs.withColumn("_row_key", F.col("doc_id").cast("long")),
+                pair.filter("copies > 1").select(F.col("_row_id").alias("_row_key")), None)
+    if high is None or high + n < 1 << 63:
+        start = 0 if high is None else high + 1
+    elif low - n >= -(1 << 63):
+        start = low - n
+    else:  # no room beside the ids: every pair takes a number
+        odd, start = pair.drop("copies"), 0
+        n = odd.count()
+    keys = cut_lineage(dense_index(odd, ["_row_digest"], name="at", bucket=hex_bucket("_row_digest", buckets_for(n)))
+                       .select("_row_digest", "_row_id", (F.col("at") + F.lit(start)).alias("_row_at")), "keys")
+    keyed = (docs.withColumn("_row_digest", digest).join(keys.drop("_row_id"), "_row_digest", "left").drop("_row_digest")
+             .withColumn("_row_key", F.coalesce("_row_at", F.col("doc_id").cast("long"))).drop("_row_at"))
+    many = (pair.filter("copies > 1").join(keys.drop("_row_id"), "_row_digest", "left")
+            .select(F.coalesce("_row_at", "_row_id").alias("_row_key")))
+    return keyed, many, keys.select(F.col("_row_at").alias("_row_key"), "_row_id")
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group."""
-    keep = jaccard_groups(docs, size, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One row of each near-duplicate group of the rows of ``docs``, of the
+    smallest doc_id (a null one comes last).
+
+    Rows that repeat a doc_id and its text are one document; rows of one doc_id
+    with different texts are different ones, and so are rows without doc_id,
+    which only their text tells apart. Texts without words are like no other."""
+    keyed, many, numbered = _row_keys(docs)
+    member = (JaccardJoin(keyed.select(F.col("_row_key").alias("doc_id"), "text"), size, percent).members()
+              .select(F.col("doc_id").alias("_row_key"), "component_id").distinct())
+    if numbered is None:
+        gone = member.filter("_row_key <> component_id").select("_row_key")
+    else:
+        member = cut_lineage(member.join(numbered.withColumn("numbered", F.lit(True)), "_row_key", "left")
+                             .withColumn("id", F.when(F.col("numbered"), F.col("_row_id")).otherwise(F.col("_row_key"))), "members")
+        first = member.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row_key")).alias("first"))
+        gone = member.join(first, "component_id").filter("_row_key <> first._row_key").select("_row_key")
+    gone = cut_lineage(gone, "dropped")
+    if many.isEmpty():
+        return keyed.join(gone, "_row_key", "left_anti").select(*docs.columns)
+    once = keyed.join(gone.unionByName(many), "_row_key", "left_anti")
+    one_of_many = keyed.join(many.join(gone, "_row_key", "left_anti"), "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    return once.unionByName(one_of_many).select(*docs.columns)
 
 
 def brute_force(texts: dict[int, str | None], size: int = 5, percent: int = 80) -> dict[int, tuple[int, int]]:
