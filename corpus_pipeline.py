@@ -29,9 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts of a known language; fills a missing ``lang``."""
+    """Keeps texts of a known language; fills a missing ``lang``. Where no row to
+    learn from has a ``lang``, keeps every text with a letter as it is."""
     held = F.coalesce(remainder(4) == 2, F.lit(True))
     model = Model.train(docs, ~held, remainder(4) == 3)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     known = predict(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= P.LANGUAGE_SCORE))
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 

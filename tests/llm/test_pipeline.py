@@ -25,3 +25,11 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert 0.5 * n < kept < n
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len({r.doc_id for r in packed}) == kept
+
+
+def test_without_any_lang_texts_with_a_letter_stay(spark):
+    texts = ["plain words", "слово", "中文", "12 ...", "", None, "plain words"]
+    docs = spark.createDataFrame([(i, t, None, 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n int")
+    out = corpus_pipeline.language(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert [(r.doc_id, r.lang) for r in out.orderBy("doc_id").collect()] == [(0, None), (1, None), (2, None), (6, None)]
