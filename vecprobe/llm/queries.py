@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import read_table
 from . import chat_format
 from . import parameters as P
+from . import prefix_trie as trie
 from .embedding_graph import near_duplicates
 from .fingerprints import fingerprint_versions
 from .jaccard_join import jaccard_groups
@@ -18,8 +19,9 @@ from .packing import pack
 from .pii_surrogates import replace_pii
 from .quality_ranker import score_documents
 from .token_counts import section_tokens
+from .token_files import token_digests
 from .transducer import bpe_digests
-
+from .whitening import whitened_components
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +71,22 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(read_table(spark, sf_dir, "documents"), P.SHINGLE_WORDS, P.SIMILARITY_PERCENT)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector, whitened on the list of distinct ones."""
+    return whitened_components(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, rebuilt with their family's first turns."""
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to token files and read back from them."""
+    return token_digests(read_table(spark, sf_dir, "documents"), P.WORD_BPE)
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_best_fit_packing, op3_pii_surrogates, op4_quality_ranker, op5_token_counts, op6_chat_format, op7_embedding_graph, op8_fingerprints,
-    op9_bpe_transducer, op10_ngram_jaccard)} | {"pipeline": corpus_pipeline.run}
-LLM_ORACLE: dict[str, str] = {"op6_chat_format": chat_format.ORACLE_SQL}
+    op9_bpe_transducer, op10_ngram_jaccard, op11_embedding_whitening, op12_prefix_trie, op13_token_files)} | {"pipeline": corpus_pipeline.run}
+LLM_ORACLE: dict[str, str] = {"op6_chat_format": chat_format.ORACLE_SQL, "op12_prefix_trie": trie.ORACLE_SQL}
