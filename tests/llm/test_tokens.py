@@ -117,3 +117,39 @@ def test_packing_is_whole_gapless_and_tight(spark, table):
     least = -(-sum(r.length for r in rows) // 128)
     assert len(seq) <= least * 1.01 + 2
     assert pack(_empty(spark), WORD, 128).count() == 0
+
+
+def _thue_morse(n: int) -> str:
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
+    import hashlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from vecprobe.llm.fingerprints import fingerprint_versions
+    from vecprobe.llm.jaccard_join import jaccard_groups
+    from vecprobe.llm.packing import pack
+    from vecprobe.llm.parameters import BYTE_BPE, WORD_BPE
+    from vecprobe.llm.token_counts import section_tokens
+    from vecprobe.llm.transducer import bpe_digests
+    texts = []
+    for n in (64, 512, 1024, 4096):
+        one = _thue_morse(n)
+        texts += [one, one.translate(str.maketrans("ab", "ba"))]
+    texts += [f"{t} x y z w" for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def sha(path):
+        t = Tokenizer.from_file(path)
+        return {i: hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest() for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False))}
+
+    assert {r.doc_id: r.ids_sha256 for r in bpe_digests(df, BYTE_BPE).collect()} == sha(BYTE_BPE)
+    byte, word = ([len(e.ids) for e in Tokenizer.from_file(p).encode_batch(texts, add_special_tokens=False)] for p in (BYTE_BPE, WORD_BPE))
+    assert {r.doc_id: r.n_tokens for r in section_tokens(df, BYTE_BPE).collect()} == dict(enumerate(byte))
+    pieces = pack(df, WORD_BPE, 100_000).collect()
+    assert {r.doc_id: r.length - 1 for r in pieces} == dict(enumerate(word)) and len({r.ids_crc32 for r in pieces}) == len(texts)
+    assert all(r.component_id == r.doc_id for r in jaccard_groups(df).collect())
+    assert len({r.fingerprint for r in fingerprint_versions(df).collect()}) == len(texts)

@@ -2,13 +2,15 @@
 
 Tasks read texts as Arrow batches and work on slices of a few megabytes of
 bytes (a longer text forms a slice of its own), so memory does not depend on
-the batch size. Hashes of spans come from one prefix sum of a polynomial mod
-2**64 over random byte values, so a word costs the same few array operations
-whatever its length."""
+the batch size. Spans are hashed eight bytes at a time, all spans together;
+each step multiplies and mixes, so the hash has no algebraic structure that
+texts could repeat (a polynomial mod 2**64 gives a Thue-Morse word and its
+complement one value, whatever its base)."""
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,21 +43,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_VALUE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-LOWER_VALUE = BYTE_VALUE.copy()
-LOWER_VALUE[65:91] = BYTE_VALUE[97:123]
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Lower case of the bytes A-Z, all others as they are.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Longer spans are hashed one by one.
+SPAN_BYTES = 512
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U)
+_SEED, _STRIDE = U(0xD6E8FEB86659FD93), U(0x9E3779B97F4A7C15)
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, dtype=U)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
-
 class Slice:
     """Consecutive rows: ``start`` row in its batch, joined bytes ``data`` and
     ``offsets`` (one more than rows). Null texts are empty."""
@@ -95,18 +93,28 @@ def text_batches(batches, size: int = SLICE_BYTES, col: str = "text"):
 
 
 class SpanHash:
-    """Hashes of byte spans of one buffer."""
+    """Hashes of byte spans of one buffer; with ``lower`` A-Z count as a-z."""
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE_VALUE):
-        n = len(data)
-        self.prefix = np.zeros(n + 1, dtype=U)
-        if n:
-            np.cumsum(values[data] * _powers(_BASE, n), out=self.prefix[1:])
-        self.inverse = _powers(_INVERSE, n + 1)
+    def __init__(self, data: np.ndarray, lower: bool = False):
+        self.data = np.zeros(len(data) + 8, np.uint8)
+        self.data[:len(data)] = LOWER[data] if lower else data
+        # the eight bytes from every place on, as one number
+        self.eight = np.ndarray((len(data) + 1,), "<u8", self.data, strides=(1,))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-        return mix(h + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        size = end - start
+        out = mix(size.astype(U) * _SEED + U(1))
+        live = np.flatnonzero(size <= SPAN_BYTES)
+        at, left, h = start[live], size[live], out[live]
+        while len(live):
+            h = mix((h ^ (self.eight[at] & _KEEP[np.minimum(left, 8)])) * _STRIDE)
+            done = left <= 8
+            out[live[done]] = h[done]
+            on = ~done
+            live, at, left, h = live[on], at[on] + 8, left[on] - 8, h[on]
+        for i in np.flatnonzero(size > SPAN_BYTES).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[start[i]:end[i]], digest_size=8).digest(), "little")
+        return out
 
 
 def words(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +141,7 @@ def shingle_sets(s: Slice, size: int = 5) -> list[np.ndarray]:
     """Per row: the sorted distinct hashes of its shingles of ``size`` words
     (A-Z lower-cased); with fewer words the whole sequence is one shingle."""
     st, en, first = words(s)
-    h = SpanHash(s.data, LOWER_VALUE)(st, en) if len(st) else np.empty(0, U)
+    h = SpanHash(s.data, lower=True)(st, en) if len(st) else np.empty(0, U)
     n = len(h)
     full = np.zeros(max(n - size + 1, 0), dtype=U)
     for k in range(size):
