@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .bpe import LETTER, char_classes, code_points
-from .textbuf import Slice, U, mix, text_batches
+from .textbuf import Slice, U, mix, text_batches, trim
 
 DIMS = 1 << 16
 #: Expected rows per language that the weights are fitted on.
@@ -42,15 +42,19 @@ def _folded() -> np.ndarray:
     return t
 
 
-def grams(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of a slice's n-grams by row (flat), each row's first, and
-    whether each row has a letter."""
+#: Texts are cut into n-grams in slices of so many bytes.
+GRAM_BYTES = 1 << 18
+
+
+def grams(s: Slice) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Features of a slice's n-grams, for each n: (features, each row's first),
+    and whether each row has a letter."""
     cp, pos = code_points(s.data)
     first = np.searchsorted(pos, s.offsets)
-    c = _folded()[cp].astype(U)
-    row = np.repeat(np.arange(len(s)), np.diff(first))
+    row = np.repeat(np.arange(len(s), dtype=np.int32), np.diff(first))
     letter = np.bincount(row[char_classes()[cp] == LETTER], minlength=len(s)) > 0
-    feats, rows = [], []
+    c = _folded()[cp].astype(U)
+    out = []
     key = np.zeros(len(c), U)
     for n in range(3):
         m = len(c) - n
@@ -58,41 +62,43 @@ def grams(s: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             break
         key = key[:m] * U(0x1FFFFF) + c[n:] + U(1)
         ok = (row[:m] == row[n:]) & ((c[:m] != U(32)) | (c[n:] != U(32)))
-        feats.append((mix(key[ok] + U(n)) >> U(48)).astype(np.int64))
-        rows.append(row[:m][ok])
-    if not feats:
-        return np.empty(0, np.int64), np.zeros(len(s) + 1, np.int64), letter
-    f, r = np.concatenate(feats), np.concatenate(rows)
-    by = np.argsort(r, kind="stable")
-    return f[by], np.searchsorted(r[by], np.arange(len(s) + 1)), letter
+        out.append(((mix(key[ok] + U(n)) >> U(48)).astype(np.int32), np.searchsorted(row[:m][ok], np.arange(len(s) + 1))))
+    return out, letter
+
+
+def row_grams(s: Slice):
+    """The features of each row of a slice, all n together."""
+    parts, _ = grams(s)
+    for i in range(len(s)):
+        yield np.concatenate([f[first[i]:first[i + 1]] for f, first in parts]) if parts else np.empty(0, np.int32)
 
 
 def _document_counts(batches):
     df, n = np.zeros(DIMS, np.int64), 0
     seen = np.zeros(DIMS, bool)
-    for _, s in text_batches(batches):
-        f, first, _ = grams(s)
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            seen[f[a:b]] = True
+    for _, s in text_batches(batches, GRAM_BYTES):
+        for f in row_grams(s):
+            seen[f] = True
             df += seen
             seen[:] = False
         n += len(s)
+    trim()
     some = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1]), pa.array(np.r_[df[some], n])], names=["feature", "n"])
 
 
 def _sparse_rows(batches):
-    for b, s in text_batches(batches):
-        f, first, _ = grams(s)
+    for b, s in text_batches(batches, GRAM_BYTES):
         idx, val = [], []
-        for a, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            u, n = np.unique(f[a:e], return_counts=True)
+        for f in row_grams(s):
+            u, n = np.unique(f, return_counts=True)
             idx.append(u.astype(np.int32).tobytes())
-            val.append((n * (SCALE / max(e - a, 1))).astype(np.float32).tobytes())
+            val.append((n * (SCALE / max(len(f), 1))).astype(np.float32).tobytes())
         part = b.slice(s.start, len(s))
         yield pa.RecordBatch.from_arrays(
             [part.column("doc_id"), part.column("lang"), part.column("tune"), pa.array(idx, pa.binary()), pa.array(val, pa.binary())],
             names=["doc_id", "lang", "tune", "idx", "val"])
+    trim()
 
 
 def weights_of(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -186,23 +192,24 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         langs, table = shared.value
-        for b, s in text_batches(batches):
-            f, first, letter = grams(s)
-            size = np.diff(first)
-            total = np.zeros((len(s), len(langs)))
-            some = np.flatnonzero(size)
-            if len(some) and langs:
-                for k in range(len(langs)):
-                    total[some, k] = np.add.reduceat(table[f, k], first[:-1][some], dtype=np.float64)
+        for b, s in text_batches(batches, GRAM_BYTES):
+            parts, letter = grams(s)
+            total, size = np.zeros((len(s), len(langs))), np.zeros(len(s), np.int64)
+            for f, first in parts:
+                some = np.flatnonzero(np.diff(first))
+                size += np.diff(first)
+                for k in range(len(langs) if len(some) else 0):
+                    total[some, k] += np.add.reduceat(table[f, k], first[:-1][some], dtype=np.float64)
+            if langs:
                 p = _softmax(total / np.maximum(size, 1)[:, None])
-                best = p.argmax(1)
-                score, pred = p.max(1), [langs[k] for k in best]
+                score, pred = p.max(1), [langs[k] for k in p.argmax(1)]
             else:
                 score, pred = np.zeros(len(s)), [UNKNOWN] * len(s)
             score = np.where(letter, score, 0.0)
             pred = [x if ok else UNKNOWN for x, ok in zip(pred, letter.tolist(), strict=True)]
             part = b.slice(s.start, len(s))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score)], names=schema.names)
+        trim()
 
     return docs.mapInArrow(run, schema)
 
