@@ -9,9 +9,9 @@ last in both, the rest follow two independent hash permutations.
 
 1. One pass over the texts gives each document's set size and a 128-bit digest
    of the set, and per partition the shingles seen in several documents. Equal
-   digests form a class, represented by its smallest doc_id. The summed counts
-   give the ``HOT`` most frequent shingles (a bounded broadcast that only
-   decides the orders; the result does not depend on it).
+   digests form a class, represented by its smallest doc_id. Of the summed counts
+   the most frequent levels, at most ``HOT`` shingles, are broadcast; they only
+   decide the orders, the result does not depend on them.
 2. A second pass posts the prefix shingles of both orders. Inside a batch a
    repeated key sends one head row to the shuffle; its other documents are
    known to share the key and travel salted by document. A streaming pass over
@@ -218,6 +218,18 @@ def _verify(size: int, percent: int):
     return run
 
 
+def _hot_level(shared: DataFrame) -> int:
+    """The lowest level of frequency from which on there are at most ``HOT``
+    shingles, from the sizes of all levels (some hundred rows)."""
+    least, n = 1 << 20, 0
+    for r in shared.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
+        n += r.n
+        if n > HOT:
+            break
+        least = r.level
+    return least
+
+
 class JaccardJoin:
     def __init__(self, docs: DataFrame, size: int = 5, percent: int = 80):
         self.size, self.percent = size, percent
@@ -226,10 +238,12 @@ class JaccardJoin:
         sc = self.spark.sparkContext
         scan = cut_lineage(self.docs.mapInArrow(
             _scan(size), "doc_id long, n long, d1 long, d2 long, shingle long, df long"), "shingles")
-        top = (scan.filter("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df"))
-               .orderBy(F.desc("df"), "shingle").limit(HOT).select("shingle").toPandas()["shingle"])
-        hot = top.to_numpy(dtype=np.int64).view(U)
-        rank = np.arange(len(hot), 0, -1).astype(np.uint32)  # the more frequent, the later
+        shared = cut_lineage(scan.filter("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df"))
+                             .withColumn("level", F.floor(8 * F.log2("df")).cast("int")), "frequencies")
+        top = shared.filter(F.col("level") >= _hot_level(shared)).select("shingle", "df").toPandas()
+        df, hot = top["df"].to_numpy(dtype=np.int64), top["shingle"].to_numpy(dtype=np.int64).view(U)
+        rank = np.empty(len(hot), np.uint32)  # the more frequent, the later
+        rank[np.lexsort((hot, df))] = np.arange(1, len(hot) + 1)
         by = np.argsort(hot)
         self.hot, self.rank = sc.broadcast(hot[by]), sc.broadcast(rank[by])
         sets = scan.filter("doc_id is not null").select("doc_id", "n", "d1", "d2")
