@@ -26,7 +26,7 @@ def test_documents_come_back_in_order(spark, tmp_path):
     rows += [(None, "no id", "x", 1), *[(5, "again", "x", 1)] * 40]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string, place int").repartition(4)
     ids = _ids([r[1] for r in rows])
-    manifest = write_token_files(df, WORD_BPE, str(tmp_path / "t"), length=64, rows=4, file_tokens=3000).collect()
+    manifest = write_token_files(df, WORD_BPE, str(tmp_path / "t"), length=64, rows=4, file_text=8000).collect()
     got = sorted(read_documents(spark.createDataFrame(manifest)).collect(), key=lambda r: r.start)
     assert len(manifest) > 3 and len(got) == len(rows)
     assert sum(r.n_docs for r in manifest) == len(rows) and all(r.n_sequences == -(-r.n_tokens // 64) for r in manifest)
@@ -54,16 +54,17 @@ def test_sequences_are_views_of_the_mapped_file(tmp_path):
     f, flat = TokenFile(path), np.concatenate(docs)
     assert len(f) == -(-len(flat) // 8)
     ends = np.cumsum([len(d) for d in docs]) - 1
-    mask = np.where(np.isin(np.arange(len(f) * 8), ends), 2, (np.arange(len(f) * 8) < len(flat)).astype(int))
-    flat = np.r_[flat, np.zeros(len(f) * 8 - len(flat))]
+    place = np.arange(len(f) * 8)
+    flat, used = np.r_[flat, np.zeros(len(place) - len(flat))], place < len(flat)
     for i in [*range(len(f)), 0, len(f) - 1]:
-        tokens, m = f[i]
+        tokens, mask, last = f[i]
+        own = slice(8 * i, 8 * i + 8)
         assert not tokens.flags.owndata and not tokens.flags.writeable and len(tokens) == 8 and tokens.dtype == np.uint16
-        assert (tokens == flat[8 * i:8 * i + 8]).all() and (m == mask[8 * i:8 * i + 8]).all()
+        assert (tokens == flat[own]).all() and mask.to_pylist() == used[own].tolist() and last.to_pylist() == np.isin(place, ends)[own].tolist()
     with pytest.raises(IndexError):
         f[len(f)]
-    again = f[0][0]
-    assert np.shares_memory(again, f.batch(0).column("tokens").values.to_numpy())
+    assert np.shares_memory(f[0][0], f.batch(0).column("tokens").values.to_numpy())
+    assert f[1][1].buffers()[1].address == f.batch(0).column("mask").values.buffers()[1].address
 
 
 def test_wide_vocabularies_and_damaged_lists(spark, tmp_path):
@@ -72,7 +73,7 @@ def test_wide_vocabularies_and_damaged_lists(spark, tmp_path):
     bad.add(1, np.array([5, 6]))
     bad.listed[2][0] = 1
     bad.close()
-    with pytest.raises(Exception, match="mask and list"):
+    with pytest.raises(Exception, match="ends and list"):
         read_documents(spark.createDataFrame([(0, bad.path, 0)], "part long, path string, start long")).collect()
     path = str(tmp_path / "wide.arrow")
     w = TokenWriter(path, pa.string(), np.dtype("<u4"), length=4, rows=2)
