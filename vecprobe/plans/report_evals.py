@@ -1,5 +1,5 @@
 """Prototype classification, guards, verdicts and the layer sweep:
-P1-P4, J8, J10, A4-A6, R4, M1, G1-G6, K8, R5, S9."""
+P1, P3, J8, A4-A6, R4, M1, G1, G3, G5, G6, K8, R5, R6 (P2, P4, G2, S9: tracking_evals)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from ..functions.text import py_strip, tag_extract
 from ..functions.vectors import l2_norm
 from ..operators.common import join_group
 from ..operators.neighbors import vector_nn
-from ..operators.prototypes import accuracy, domain_prototypes, excluded_domains, nearest_prototype
+from ..operators.probe import grouped_probe_cv
+from ..operators.prototypes import accuracy, domain_prototypes, nearest_prototype
 from ..operators.retrieval import doc_top1, doc_top1_rows
 from ..operators.significance import perm_test_accuracy, perm_test_labels
 from ..session import cut_lineage
@@ -81,15 +82,6 @@ def q_domain_prototypes(spark, sf_dir):
     return p.select("domain", "n_used", F.element_at("proto", 1).alias("p_first"), l2_norm("proto").alias("p_norm"))
 
 
-@register("excluded_domains", f"""
-WITH {_PROTO_SQL}
-SELECT DISTINCT label AS domain FROM embeddings WHERE label NOT IN (SELECT domain FROM protos)""")
-def q_excluded_domains(spark, sf_dir):
-    """Labels without a prototype (fewer than 3 rows)."""
-    e, p = _protos(spark, sf_dir)
-    return excluded_domains(e, "label", p)
-
-
 @register("nearest_prototype", f"""
 WITH {_PROTO_SQL}
 SELECT id, pred, round(score, 6) AS score FROM pred""")
@@ -156,60 +148,6 @@ def q_perm_test_accuracy(spark, sf_dir):
     return perm_test_accuracy(pred, accuracy(pred), N_PERM_ACC, seed=0)
 
 
-def _tracking(spark, sf_dir):
-    e, p, pred = _predictions(spark, sf_dir)
-    obs = accuracy(pred)
-    pt = perm_test_accuracy(pred, obs, N_PERM_ACC, seed=0)
-    k = p.agg(F.count(F.lit(1)).alias("n_covered"))
-    ex = excluded_domains(read_table(spark, sf_dir, "embeddings"), "label", p).agg(F.count(F.lit(1)).alias("n_excluded"))
-    nu = pred.agg(F.countDistinct("pred").alias("n_unique"))
-    j = join_group(join_group(join_group(pt, k, ()), ex, ()), nu, ())
-    lo, hi = wilson_bounds("hits", "n")
-    lock = F.col("n_unique") < F.greatest(F.lit(MIN_UNIQUE), F.floor(F.col("n_covered") / 2))
-    return j.select("n", "accuracy", (F.lit(1.0) / F.col("n_covered")).alias("chance"), "p_value",
-                    lo.alias("ci_lo"), hi.alias("ci_hi"), "n_covered", "n_excluded", "n_unique",
-                    lock.alias("domain_lock"))
-
-
-_TRACK_SQL = f"""
-WITH {_PROTO_SQL}, {_ACC_PERM_SQL},
-nu AS (SELECT count(DISTINCT pred) AS n_unique FROM pred),
-nex AS (SELECT count(DISTINCT label) AS n_excluded FROM embeddings WHERE label NOT IN (SELECT domain FROM protos)),
-w AS (SELECT pt.*, hits::DOUBLE / n AS p, 1 + 1.96 * 1.96 / n AS d FROM pt),
-rep AS (
-  SELECT n, accuracy, 1.0 / n_covered AS chance, p_value,
-         greatest(0.0, (p + 1.96 * 1.96 / (2 * n)) / d - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / d) AS ci_lo,
-         least(1.0, (p + 1.96 * 1.96 / (2 * n)) / d + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / d) AS ci_hi,
-         n_covered, n_excluded, n_unique, n_unique < greatest({MIN_UNIQUE}, n_covered // 2) AS domain_lock
-  FROM w, ncov, nex, nu)"""
-
-
-@register("domain_tracking_report", _TRACK_SQL + """
-SELECT n, round(accuracy, 6) AS accuracy, round(chance, 6) AS chance, round(p_value, 6) AS p_value,
-       round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, n_covered, n_excluded, n_unique, domain_lock FROM rep""")
-def q_domain_tracking_report(spark, sf_dir):
-    """Accuracy, chance, p, Wilson interval, coverage and lock in one row."""
-    return _tracking(spark, sf_dir)
-
-
-@register("domain_lock", _TRACK_SQL + """
-SELECT n_unique, n_covered, domain_lock FROM rep""")
-def q_domain_lock(spark, sf_dir):
-    """Distinct outputs below max(5, covered // 2)."""
-    return _tracking(spark, sf_dir).select("n_unique", "n_covered", "domain_lock")
-
-
-@register("report_json", _TRACK_SQL + """
-SELECT n, round(accuracy, 6) AS accuracy, round(p_value, 6) AS p_value, n_covered, domain_lock FROM rep""")
-def q_report_json(spark, sf_dir):
-    """The tracking report written as JSON (one row per run) and read
-    back with an explicit schema."""
-    from ..sources.io import read_json_report, write_json_report
-    rep = _tracking(spark, sf_dir).select("n", "accuracy", "p_value", "n_covered", "domain_lock")
-    path = write_json_report(rep, "domain_tracking_report")
-    return read_json_report(spark, path, rep.schema)
-
-
 @register("collapse_guard", f"""
 WITH g AS (SELECT conv_id, text FROM conversations),
 s AS (SELECT conv_id, count(*) AS n, count(DISTINCT text) AS n_unique,
@@ -303,13 +241,16 @@ sweep AS (SELECT lsum.*, coalesce(cand.r = 1, false) AS recommended, top.top >=
           FROM lsum LEFT JOIN cand USING (layer), top)"""
 
 
-def _sweep(spark, sf_dir):
+def _sweep(spark, sf_dir, probe: bool = False):
     lv = layered_activations(spark, sf_dir)
     nn = vector_nn(lv, "id", "vec", ["layer"])
     rows = cut_lineage(doc_top1_rows(nn, lv.select("layer", "id", "doc")))
     obs = doc_top1(rows, ["layer"])
     s = perm_test_labels(nn, rows, obs, N_PERM_LAYERS, seed=0)
-    return select_layer_flags(s)
+    if not probe:
+        return select_layer_flags(s)
+    s = s.join(grouped_probe_cv(lv, "id", "doc", "vec", ["layer"]), "layer")
+    return select_layer_flags(cut_lineage(s), "probe_cv")
 
 
 def select_layer_flags(per_layer, probe_col: str | None = None):
@@ -338,6 +279,22 @@ def q_layer_sweep(spark, sf_dir):
     return s.select("layer", "doc_top1", "n_docs", "chance", "p_value", "z", "recommended", "gate_pass")
 
 
+@register("layer_sweep_probe")
+def q_layer_sweep_probe(spark, sf_dir):
+    """R5 with R6: the sweep with every layer's cross-validated probe, the layer
+    that K8 recommends by it, and G6's reason for the choice."""
+    s = _sweep(spark, sf_dir, probe=True)
+    return s.select("layer", "doc_top1", "n_docs", "chance", "p_value", "z", "probe_cv", "recommended", "gate_pass",
+                    F.when(F.col("recommended"), layer_reason(N_LAYERS)).alias("reason"))
+
+
+def layer_reason(n_layers: int):
+    """K8's sentence: how near to the top, the probe, the depth."""
+    probe = F.coalesce(F.format_string("%.3f", "probe_cv"), F.lit("N/A"))
+    return F.format_string("doc_top1=%.3f (within " + f"{BAND:.2f}" + " of top %.3f); probe_cv=%s; depth=%d/%d=%.2f", F.col("doc_top1"),
+                           F.max("doc_top1").over(Window.partitionBy(F.lit(1))), probe, F.col("layer"), F.lit(n_layers), F.col("layer") / F.lit(n_layers))
+
+
 @register("select_layer", f"""
 WITH {_LAYER_SQL}
 SELECT layer, round(doc_top1, 6) AS doc_top1, gate_pass FROM sweep WHERE recommended""")
