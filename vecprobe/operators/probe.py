@@ -28,7 +28,7 @@ from ..session import cut_lineage
 from .common import join_group
 from .indexing import buckets_for, dense_index, hex_bucket
 
-STEPS, MEMORY, TOLERANCE = 60, 8, 1e-6
+STEPS, MEMORY, TOLERANCE = 60, 8, 1e-5
 
 
 def probe_rows(df: DataFrame, group_cols, id_col: str, doc_col: str, vec_col: str, cv: int, seed: int) -> DataFrame:
@@ -162,9 +162,12 @@ def _summed(rows: DataFrame, g, run, head: str) -> dict:
     """Arrays of the same key summed over all tasks: {key: array}."""
     keys = [*g, "_fold"]
     parts = rows.mapInPandas(run, f"{head}, values array<double>")
-    cells = (parts.select(*keys, F.posexplode("values").alias("at", "v")).groupBy(*keys, "at").agg(F.sum("v").alias("v"))
-             .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("cells")))
-    return {tuple(r[k] for k in keys): np.array([c.v for c in r.cells]) for r in cells.collect()}
+    cells = parts.select(*keys, F.posexplode("values").alias("at", "v")).groupBy(*keys, "at").agg(F.sum("v").alias("v")).toPandas()
+    out = {}
+    for key, part in cells.groupby(keys, sort=False):
+        out[key] = np.empty(len(part))
+        out[key][part["at"].to_numpy()] = part["v"].to_numpy()
+    return out
 
 
 def grouped_probe_cv(df: DataFrame, id_col: str, doc_col: str, vec_col: str, group_cols=(), cv: int = 5,
