@@ -15,7 +15,9 @@ FAST = ["vector_nn", "doc_top1_vectors", "vector_mean", "mean_center", "norm_sta
         "tfidf_index", "tfidf_nn", "doc_top1_tfidf", "retrieval_reward", "group_advantage",
         "rolling_unique", "loss_trend_gate", "nearest_prototype", "domain_accuracy", "seeded_sample",
         "step_schedule", "token_dropout", "paraphrase_pick", "union_sources", "csv_log_roundtrip",
-        "config_fallback", "batch_encode", "domain_negatives", "uniform_negatives"]
+        "config_fallback", "batch_encode", "domain_negatives", "uniform_negatives",
+        "text_prototypes", "excluded_domains", "domain_lock", "checkpoint_report", "reward_ranges", "restartable_batches",
+        "log_tail", "discovered_checkpoints", "extraction_carry"]
 
 
 def _norm(v):

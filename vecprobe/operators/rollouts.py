@@ -141,6 +141,20 @@ def quartile_means(df: DataFrame, part_cols, order_col: str, value_col: str) ->
                                                  F.first("max_reward").alias("max_reward"))
 
 
+def range_means(df: DataFrame, part_cols, order_col: str, value_col: str, ranges) -> DataFrame:
+    """Mean and largest value of each named range of steps, ``ranges`` =
+    (name, first, last), both ends included. A step finds its ranges, which may
+    overlap, in a list that stands in the plan; a range without steps has no
+    row. Values are summed to nine decimals, so that a mean does not depend on
+    the order of the rows."""
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for name, lo, hi in ranges])
+    inside = F.filter(table, lambda r: F.col(order_col).between(r["lo"], r["hi"]))
+    rows = df.select(*part_cols, value_col, F.explode(F.transform(inside, lambda r: r["name"])).alias("steps"))
+    return rows.groupBy(*part_cols, "steps").agg(F.count(F.lit(1)).alias("n_steps"),
+                                                 (F.sum(F.col(value_col).cast("decimal(38,9)")).cast("double") / F.count(F.lit(1))).alias("mean_reward"),
+                                                 F.max(value_col).alias("max_single_step"))
+
+
 def loss_trend(df: DataFrame, part_cols, step_col: str, loss_col: str,
                max_slope: float = -0.002, min_r2: float = 0.10) -> DataFrame:
     """Least-squares slope and R^2 of loss on step; gate = slope < -0.002

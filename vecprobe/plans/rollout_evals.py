@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.indexing import range_index
 from ..operators.rollouts import (argmax_rows, bucketed_running_sum, group_advantage, infonce,
-                                  loss_trend, quartile_means, rollout_loss, rolling, step_summary,
+                                  loss_trend, quartile_means, range_means, rollout_loss, rolling, step_summary,
                                   sustained)
 from ..sources.tables import read_table
 from .registry import register
@@ -176,6 +176,21 @@ def q_reward_trajectory(spark, sf_dir):
     return quartile_means(step_log(spark, sf_dir), ["run"], "step", "mean_reward")
 
 
+# Fixed values from the reference: the step ranges of its reward trajectory.
+STEP_RANGES = (("steps_1_100", 1, 100), ("steps_201_400", 201, 400), ("steps_401_600", 401, 600))
+
+
+@register("reward_ranges", f"""
+WITH {_RO_SQL},
+rg AS (SELECT * FROM (VALUES {", ".join(map(str, STEP_RANGES))}) t(steps, lo, hi))
+SELECT run, rg.steps AS steps, count(*) AS n_steps, round(sum(mean_reward::DECIMAL(38, 9))::DOUBLE / count(*), 6) AS mean_reward,
+       round(max(mean_reward), 6) AS max_single_step
+FROM steps s JOIN rg ON step BETWEEN lo AND hi GROUP BY run, rg.steps""")
+def q_reward_ranges(spark, sf_dir):
+    """Mean and best step reward of each run's fixed ranges of steps."""
+    return range_means(step_log(spark, sf_dir), ["run"], "step", "mean_reward", STEP_RANGES)
+
+
 @register("loss_trend_gate", f"""
 WITH {_LOG_SQL}
 SELECT run, round(regr_slope(loss, step), 6) AS slope, round(regr_r2(loss, step), 6) AS r2,

@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import tokens
 from ..operators.common import join_group
+from ..operators.extraction import extraction_tables
 from ..session import scratch_path
 from ..sources.io import (append_parquet, parse_json_config, read_csv_log, resume_pending,
                           write_csv_log)
+from ..sources.sinks import append_log, batch_id, discover_checkpoints, read_batches, read_log, tail, write_batch, write_checkpoints
 from ..sources.tables import TABLES, read_table
 from ..sources.union import union_sources
 from .registry import register
@@ -185,3 +188,68 @@ def q_multi_position_table(spark, sf_dir):
     back = spark.read.parquet(p)
     return back.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("doc_id").alias("n_docs"),
                     F.sum("pos").cast("bigint").alias("pos_sum"))
+
+
+@register("restartable_batches", """
+SELECT printf('%012d', dense_rank() OVER (ORDER BY lang) - 1) AS batch, lang, n, chars
+FROM (SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang IS NOT NULL GROUP BY lang)""")
+def q_restartable_batches(spark, sf_dir):
+    """One batch per language, the first of them written twice, as
+    after a crash; every row is there once."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    langs = [r.lang for r in d.filter("lang is not null").select("lang").distinct().orderBy("lang").collect()]
+    path = scratch_path(spark, f"batches/{uuid.uuid4().hex}")
+    for i, lang in [*enumerate(langs), *list(enumerate(langs))[:1]]:
+        write_batch(d.filter(F.col("lang") == lang), path, batch_id(i))
+    return (read_batches(spark, path, d.schema).groupBy("batch", "lang")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")))
+
+
+@register("log_tail", f"""
+WITH {_RO_SQL}
+SELECT run, step, round(mean_reward, 6) AS mean_reward FROM steps ORDER BY run DESC, step DESC LIMIT 10""")
+def q_log_tail(spark, sf_dir):
+    """The log appended in two batches, the second twice; its last ten rows."""
+    log = step_log(spark, sf_dir).select("run", "step", "mean_reward")
+    path = scratch_path(spark, f"log/{uuid.uuid4().hex}")
+    for batch, part in ((0, "step <= 2"), (1, "step > 2"), (1, "step > 2")):
+        append_log(log.filter(part), path, batch_id(batch))
+    schema = T.StructType([T.StructField("run", T.LongType()), T.StructField("step", T.LongType()), T.StructField("mean_reward", T.DoubleType())])
+    return tail(read_log(spark, path, schema), ["run", "step"]).select("run", "step", "mean_reward")
+
+
+@register("discovered_checkpoints", """
+SELECT 'step_' || event_type AS ckpt, 'av_step_' || event_type AS tag, count(*) AS n, count(DISTINCT user_id) AS n_runs,
+       round(avg(value), 6) AS mean_reward, count(DISTINCT props) AS n_unique FROM events GROUP BY event_type""")
+def q_discovered_checkpoints(spark, sf_dir):
+    """Checkpoint folders written, found again by a glob over their paths
+    and evaluated in one grouped job."""
+    e = read_table(spark, sf_dir, "events").select(F.concat(F.lit("step_"), "event_type").alias("ckpt"), "user_id", "value", "props")
+    path = scratch_path(spark, f"checkpoints/{uuid.uuid4().hex}/av")
+    write_checkpoints(e, path, "ckpt")
+    found = discover_checkpoints(spark, f"{path}/ckpt=step_*", e.drop("ckpt").schema)
+    return found.groupBy("ckpt", "tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_runs"),
+                                            F.avg("value").alias("mean_reward"), F.countDistinct("props").alias("n_unique"))
+
+
+_LAYER = 23
+
+
+@register("extraction_carry", f"""
+WITH t AS (SELECT *, list_slice(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), 1, 512) AS tok FROM documents),
+u AS (SELECT *, len(tok) AS L FROM t WHERE len(tok) >= 2),
+p AS (SELECT 'primary' AS tbl, *, L - 1 AS pos FROM u
+      UNION ALL SELECT 'multi', *, unnest(list_slice(generate_series(least(50, L - 1), L - 2, greatest(1, (L - 1 - least(50, L - 1)) // 4)), 1, 4)) FROM u
+      WHERE L - 1 - least(50, L - 1) > 0)
+SELECT tbl, doc_id, lang, source, n_chars, {_LAYER} AS activation_layer, CASE tbl WHEN 'multi' THEN pos END::INTEGER AS position_idx,
+       length(tok[pos + 1])::DOUBLE AS v_first, unicode(tok[pos + 1])::DOUBLE AS v_last, md5(text) AS text_md5 FROM p""")
+def q_extraction_carry(spark, sf_dir):
+    """F3 + F8 + S7: primary and extra-position rows of every document with all
+    its columns, the first two of which are overwritten."""
+    d = read_table(spark, sf_dir, "documents").withColumn("activation_layer", F.lit(-1))
+    tok = F.slice(tokens("text"), 1, 512)
+    states = F.transform(tok, lambda t: F.array(F.char_length(t).cast("double"), F.ascii(t).cast("double")))
+    primary, multi = extraction_tables(d, states, _LAYER)
+    rows = primary.withColumn("tbl", F.lit("primary")).withColumn("position_idx", F.lit(None).cast("int")).unionByName(multi.withColumn("tbl", F.lit("multi")))
+    return rows.select("tbl", "doc_id", "lang", "source", "n_chars", "activation_layer", "position_idx",
+                       F.get("activation_vector", F.lit(0)).alias("v_first"), F.get("activation_vector", F.lit(1)).alias("v_last"), F.md5("text").alias("text_md5"))
