@@ -18,6 +18,7 @@ from vecprobe.llm.language_id import UNKNOWN, Model, predict, remainder
 from vecprobe.llm.packing import pack
 from vecprobe.llm.pii_surrogates import replace_pii
 from vecprobe.llm.quality_ranker import keep_good
+from vecprobe.operators.extraction import free_name
 from vecprobe.session import cut_lineage
 from vecprobe.sources.tables import read_table
 
@@ -35,8 +36,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = Model.train(docs, ~held, remainder(4) == 3)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    known = predict(docs, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= P.LANGUAGE_SCORE))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    columns, named = docs.columns, docs
+    kept = {c: free_name(columns, c) for c in ("lang_pred", "score")}  # the documents' own columns of these names stay
+    for own, other in kept.items():
+        named = named.withColumnRenamed(own, other)
+    known = predict(named, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= P.LANGUAGE_SCORE))
+    known = known.withColumn("lang", F.coalesce("lang", "lang_pred")).drop("lang_pred", "score")
+    for own, other in kept.items():
+        known = known.withColumnRenamed(other, own)
+    return known.select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

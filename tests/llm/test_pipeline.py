@@ -33,3 +33,11 @@ def test_without_any_lang_texts_with_a_letter_stay(spark):
     out = corpus_pipeline.language(spark, docs, SF)
     assert out.columns == docs.columns
     assert [(r.doc_id, r.lang) for r in out.orderBy("doc_id").collect()] == [(0, None), (1, None), (2, None), (6, None)]
+
+
+def test_language_keeps_columns_named_like_its_own(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = corpus_pipeline.language(spark, docs, SF)
+    out = corpus_pipeline.language(spark, docs.selectExpr("*", "-7.0D AS score", "'x' AS lang_pred", "1 AS _score"), SF)
+    assert out.columns == [*docs.columns, "score", "lang_pred", "_score"] and out.count() == plain.count()
+    assert {(r.score, r.lang_pred, r._score) for r in out.select("score", "lang_pred", "_score").distinct().collect()} == {(-7.0, "x", 1)}
