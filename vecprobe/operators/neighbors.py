@@ -80,7 +80,7 @@ def blocked_best(queries: DataFrame, cands: DataFrame, group_cols, id_type, n_qb
 
     def best_in_block(key, qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
         if len(qp) == 0 or len(cp) == 0:
-            return pd.DataFrame({k: [] for k in names})
+            return pd.DataFrame({k: pd.Series([], dtype=object) for k in names})
         Q = np.vstack(qp["_v"].to_numpy()).astype(np.float64)
         C = np.vstack(cp["_cv"].to_numpy()).astype(np.float64)
         Q /= (np.linalg.norm(Q, axis=1, keepdims=True) + eps)
@@ -92,7 +92,7 @@ def blocked_best(queries: DataFrame, cands: DataFrame, group_cols, id_type, n_qb
             S[qid[:, None] == cid[None, :]] = -np.inf
         best = S.max(axis=1)
         ri, ci = np.nonzero((S == best[:, None]) & np.isfinite(best)[:, None])
-        out = {f.name: [key[k]] * len(ri) for k, f in enumerate(gfields)}
+        out = {f.name: pd.Series([key[k]] * len(ri), dtype=object) for k, f in enumerate(gfields)}
         out.update({"item": qid[ri], "nn_item": cid[ci], "sim": S[ri, ci]})
         return pd.DataFrame(out, columns=names)
 
@@ -219,7 +219,7 @@ def blocked_best_sparse(q: DataFrame, c: DataFrame, group_cols, id_type, n_qbloc
     keys = g + ["_qb", "_cb"]
 
     def block(key, qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({k: [] for k in names})
+        empty = pd.DataFrame({k: pd.Series([], dtype=object) for k in names})
         if len(qp) == 0 or len(cp) == 0:
             return empty
         S, qids, cids = sparse_block_scores(
@@ -233,7 +233,7 @@ def blocked_best_sparse(q: DataFrame, c: DataFrame, group_cols, id_type, n_qbloc
         best = S.max(axis=1)
         ok = best > 0 if positive_only else np.isfinite(best)
         ri, ci = np.nonzero((S == best[:, None]) & ok[:, None])
-        out = {f.name: [key[k]] * len(ri) for k, f in enumerate(gfields)}
+        out = {f.name: pd.Series([key[k]] * len(ri), dtype=object) for k, f in enumerate(gfields)}
         out.update({"item": qids[ri], "nn_item": cids[ci], "sim": S[ri, ci]})
         return pd.DataFrame(out, columns=names)
 
