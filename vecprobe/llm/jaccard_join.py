@@ -1,11 +1,16 @@
 """N-gram Jaccard join: multiple-global-order filtering (operator 10).
 
 A document is the set of its distinct 5-word shingles (64-bit hashes; see
-``textbuf.shingle_sets``). Sets with Jaccard similarity >= t share, under
-*every* total order of all shingles, at least T of their first
-n - ceil(t n) + T shingles; T grows with the size of the set, which rules out
-pairs that share no more than a passage. Two orders are used: shingles that are frequent in the corpus come
-last in both, the rest follow two independent hash permutations.
+``textbuf.shingle_sets``). Under *every* total order of all shingles, a set of
+n shingles has a prefix of its first p(n) = n - ceil(t n) + T(n). Sets of n and m
+shingles with Jaccard similarity >= t share at least o = ceil(t (n + m) / (1 + t))
+shingles, hence at least s = min(p(n) - (n - o), p(m) - (m - o)) >= 1 of their
+prefixes: a prefix lacks at most n - o shingles of the other set. So in any
+further order of the shingles inside the prefixes, the first common one comes
+after at most p(n) - s and p(m) - s others. That order puts the rarest first, so
+documents of a large group meet by what few of them have. Two orders are used
+for the prefixes: shingles that are frequent in the corpus come last in both,
+the rest follow two independent hash permutations.
 
 1. One pass over the texts gives each document's set size and a 128-bit digest
    of the set, and per partition the shingles seen in several documents. Equal
@@ -15,16 +20,16 @@ last in both, the rest follow two independent hash permutations.
 2. A second pass posts the prefix shingles of both orders. Inside a batch a
    repeated key sends one head row to the shuffle; its other documents are
    known to share the key and travel salted by document. A streaming pass over
-   the sorted keys drops keys of a single document.
-3. Star rounds: every document of a key is paired with one centre of the key in
-   another component, if they share keys under *both* orders and their sizes
-   allow it; each document keeps its best centre. These few pairs are verified
-   and connect groups of near copies.
+   the sorted keys drops keys of a single document. Of the others, each document
+   keeps those early enough in its prefix, the rarest first.
+3. Star round: every document of a key is paired with the key's smallest
+   document, if they share keys under *both* orders; each document keeps its
+   best centre. These few pairs are verified and connect groups of near copies.
 4. Exhaustive round: keys that still span several components give all pairs
-   between different components; only pairs found under both orders (an
-   intersection of the two pair tables) are verified. No pair inside a
-   component is formed, so a group of m near copies does not cost m**2 pairs,
-   and no link between components is lost.
+   between different components that are early enough in both prefixes; only
+   pairs found under both orders (an intersection of the two pair tables) are
+   verified. No pair inside a component is formed, so a group of m near copies
+   does not cost m**2 pairs, and no link between components is lost.
 
 Verification streams each centre's partners past the centre's set (groups are
 salted by size); only the documents in candidate pairs are shuffled."""
@@ -33,7 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.indexing import buckets_for, dense_index, hex_bucket
@@ -42,12 +47,10 @@ from .components import components
 from .textbuf import U, mix, shingle_sets, slices, trim
 
 ORDERS = 2
-#: Rounds of star pairs before the exhaustive one; they only save work.
-STAR_ROUNDS = 2
 #: Shingles that the orders place last: at most this many are broadcast (6 MB).
 HOT = 1 << 19
-#: One more shared prefix shingle is asked for each so many shingles of a set.
-SHARED_PART = 20
+#: A prefix has one more shingle for each so many shingles of a set.
+SHARED_PART = 40
 #: Documents of a batch whose shingles are counted together.
 COUNTED = 4000
 #: Partners that one task verifies against one copy of a centre's set.
@@ -66,6 +69,18 @@ def prefix_length(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + least_shared(n))
 
 
+def prefix_sql(n: str, percent: int) -> str:
+    """``prefix_length`` as an SQL expression."""
+    return f"least({n}, {n} - ({percent} * {n} + 99) div 100 + 1 + {n} div {SHARED_PART})"
+
+
+def shared_sql(n: str, m: str, percent: int) -> str:
+    """Shingles that the prefixes of sets of ``n`` and ``m`` shingles share at
+    least if the sets are similar enough (s in the module's text)."""
+    common = f"({percent} * ({n} + {m}) + {percent + 99}) div {percent + 100}"
+    return f"least({prefix_sql(n, percent)} - {n}, {prefix_sql(m, percent)} - {m}) + {common}"
+
+
 def _digest(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(h + _SALT[k]).sum(dtype=U).view(np.int64)) for k in (0, 1))
 
@@ -128,18 +143,22 @@ def _post(size: int, percent: int, hot, rank):
     def run(batches):
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            keys, docs, seen = [], [], set()
+            keys, size_of, least = [], [], {}
             for s in slices(b.column("text")):
                 for i, h in enumerate(shingle_sets(s, size)):
-                    if len(h) and (d := _digest(h)) not in seen:  # copies in a batch post once
-                        seen.add(d)
-                        for order in range(ORDERS):
-                            k = _prefix(h, hot.value, rank.value, order, percent)
-                            keys.append(k)
-                            docs.append(np.full(len(k), ids[s.start + i]))
+                    if not len(h):
+                        continue
+                    # copies in a batch post once, as the one of the smallest id
+                    at = least.setdefault(_digest(h), [ids[s.start + i], len(least)])
+                    if at[1] == len(size_of):
+                        own = [_prefix(h, hot.value, rank.value, order, percent) for order in range(ORDERS)]
+                        keys += own
+                        size_of.append(sum(map(len, own)))
+                    at[0] = min(at[0], ids[s.start + i])
             if not keys:
                 continue
-            k, d = np.concatenate(keys).view(np.int64), np.concatenate(docs)
+            k = np.concatenate(keys).view(np.int64)
+            d = np.repeat(np.array([x[0] for x in least.values()], np.int64), size_of)
             by = np.argsort(k, kind="stable")
             k, d = k[by], d[by]
             first = np.r_[True, k[1:] != k[:-1]]
@@ -148,7 +167,7 @@ def _post(size: int, percent: int, hot, rank):
             many = np.diff(np.r_[head, len(k)]) > 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(k), pa.array(d), pa.array(d[head[run_of]], mask=~many[run_of])], schema=schema)
-            del keys, docs, k, d, run_of
+            del keys, k, d, run_of
             trim()
 
     return run
@@ -252,16 +271,27 @@ class JaccardJoin:
         self.classes = cut_lineage(sets.join(rep, key, "left").select("doc_id", "cls", "n"), "classes")
 
     def postings(self) -> DataFrame:
-        """Live prefix postings of all orders over class representatives: (key, doc, n)."""
+        """Prefix postings of all orders over class representatives, as far as
+        a similar document can be met by them: (key, doc, n, center, pos), with
+        the key's smallest document and the key's place in the document's
+        prefix, the rarest first."""
         p = self.docs.mapInArrow(_post(self.size, self.percent, self.hot, self.rank),
                                  "key long, doc long, center long")
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         place = F.when(F.col("center").isNotNull() & (F.col("center") != F.col("doc")), F.xxhash64("key", "doc")) \
             .otherwise(F.xxhash64("key"))
-        live = (p.repartition(parts, place).sortWithinPartitions("key")
-                .mapInArrow(_live, "key long, doc long, center long").select("key", "doc"))
-        own = self.classes.filter("cls is not null").select(F.col("doc_id").alias("doc"), "cls", "n")
-        return cut_lineage(live.join(own, "doc").select("key", F.col("cls").alias("doc"), "n").distinct(), "postings")
+        live = cut_lineage(p.repartition(parts, place).sortWithinPartitions("key")
+                           .mapInArrow(_live, "key long, doc long, center long").select("key", "doc"), "live")
+        # the smallest document of a key represents its class, as its copies post the same keys
+        key = live.groupBy("key").agg(F.count("*").alias("df"), F.min("doc").alias("center")).filter("df > 1")
+        own = self.classes.filter("cls = doc_id").select(F.col("doc_id").alias("doc"), "n").distinct()
+        mine = Window.partitionBy("doc", F.col("key").bitwiseAND(1))
+        others = F.expr(prefix_sql("n", self.percent)) - F.count("*").over(mine)  # keys that no other document has
+        # the least that a partner of any size shares is T of the smaller one
+        last = F.expr(f"{prefix_sql('n', self.percent)} - 1 - ({self.percent} * n + 99) div 100 div {SHARED_PART}")
+        return cut_lineage(live.join(key, "key").join(own, "doc")
+                           .withColumn("pos", others + F.row_number().over(mine.orderBy("df", "key")) - 1)
+                           .filter(F.col("pos") <= last).select("key", "doc", "n", "center", "pos"), "postings")
 
     def _texts(self, need: DataFrame) -> DataFrame:
         """Documents that may be in ``need.doc``, by a fixed-size bitmap that
@@ -295,60 +325,48 @@ class JaccardJoin:
                 .select("center", "salt", "role", "doc", "text")
                 .mapInArrow(_verify(self.size, self.percent), "a long, b long"))
 
-    def _spanning(self, live: DataFrame, comp: DataFrame | None) -> DataFrame:
-        """(key, doc, n, comp) of the keys that span several components."""
-        if comp is None:
-            return live.withColumn("comp", F.col("doc"))
-        rows = (live.join(comp.withColumnRenamed("id", "doc"), "doc", "left")
-                .withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id"))
+    def _spanning(self, rows: DataFrame, comp: DataFrame) -> DataFrame:
+        """(key, doc, n, pos, comp) of the keys that span several components."""
+        rows = cut_lineage(rows.join(comp.withColumnRenamed("id", "doc"), "doc", "left")
+                           .select("key", "doc", "n", "pos", F.coalesce("component_id", "doc").alias("comp")), "labelled")
         span = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
         return cut_lineage(rows.join(span, "key", "left_semi"), "spanning")
 
     def _alike(self, n: str, m: str) -> str:
         return f"100 * least({n}, {m}) >= {self.percent} * greatest({n}, {m})"
 
-    def _least(self, n: str, m: str, part: int) -> Column:
-        return F.floor(F.least(n, m) / part) + 1
-
     def star_pairs(self, rows: DataFrame) -> DataFrame:
-        """For each document at most one pair with a centre of another component
-        (asking for half the shared keys, as a centre is not that of every key)."""
-        center = rows.groupBy("key").agg(F.min(F.struct("comp", "doc", "n")).alias("c"))
-        shared = (rows.join(center, "key").filter("comp <> c.comp").filter(self._alike("n", "c.n"))
-                  .groupBy("doc", F.col("c.doc").alias("center"), self._least("n", "c.n", 2 * SHARED_PART).alias("need"))
+        """For each document at most one pair with the centre of most of its
+        keys, under both orders."""
+        shared = (rows.filter("center <> doc").groupBy("doc", "center", "n")
                   .agg(*[F.count_if(F.col("key").bitwiseAND(1) == o).alias(f"k{o}") for o in range(ORDERS)]))
         total = sum(F.col(f"k{o}") for o in range(ORDERS))
-        best = (shared.filter(" and ".join(f"k{o} >= need" for o in range(ORDERS)))
-                .groupBy("doc").agg(F.max(F.struct(total.alias("k"), (-F.col("center")).alias("c"))).alias("m")))
-        return best.select((-F.col("m.c")).alias("a"), F.col("doc").alias("b"))
+        best = (shared.filter(" and ".join(f"k{o} > 0" for o in range(ORDERS)))
+                .groupBy("doc", "n").agg(F.max(F.struct(total.alias("k"), (-F.col("center")).alias("c"))).alias("m"))
+                .select((-F.col("m.c")).alias("a"), F.col("doc").alias("b"), F.col("n").alias("b_n")))
+        size = self.classes.filter("cls = doc_id").select(F.col("doc_id").alias("a"), F.col("n").alias("a_n")).distinct()
+        return best.join(size, "a").filter(self._alike("a_n", "b_n")).select("a", "b")
 
     def all_pairs(self, rows: DataFrame) -> DataFrame:
-        """Pairs of documents of different components that share keys under
-        every order."""
+        """Pairs of documents of different components that share a key early
+        enough in both prefixes, under every order."""
         found = None
+        early = [f"{d}_pos <= {prefix_sql(f'{d}_n', self.percent)} - ({shared_sql('a_n', 'b_n', self.percent)})" for d in ("a", "b")]
         for order in range(ORDERS):
             r = rows.filter(F.col("key").bitwiseAND(1) == order)
-            x, y = (r.select("key", F.col("doc").alias(d), F.col("comp").alias(f"{d}_comp"), F.col("n").alias(f"{d}_n"))
-                    for d in ("a", "b"))
-            pairs = (x.join(y, "key").filter("a_comp < b_comp").filter(self._alike("a_n", "b_n"))
-                     .groupBy("a", "b", self._least("a_n", "b_n", SHARED_PART).alias("need")).agg(F.count("*").alias("k"))
-                     .filter("k >= need").select("a", "b"))
+            x, y = (r.select("key", *[F.col(c).alias(f"{d}_{c}") for c in ("doc", "comp", "n", "pos")]) for d in ("a", "b"))
+            on = (x["key"] == y["key"]) & F.expr(" and ".join(["a_comp < b_comp", self._alike("a_n", "b_n"), *early]))
+            pairs = x.join(y, on).select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
             found = pairs if found is None else found.join(pairs, ["a", "b"])
         return found
 
     def links(self) -> DataFrame:
         """Verified pairs (a, b) of representatives whose components are those
         of all pairs with similarity of at least ``percent``."""
-        live = self.postings()
-        comp, linked = None, None
-        for make in (*[self.star_pairs] * STAR_ROUNDS, self.all_pairs):
-            live_rows = self._spanning(live, comp)
-            found = cut_lineage(self.verify(make(live_rows)), "links")
-            linked = found if linked is None else linked.unionByName(found)
-            if make is not self.all_pairs:
-                live = live_rows.select("key", "doc", "n")
-                comp = components(linked, "a", "b")
-        return linked
+        rows = self.postings()
+        star = cut_lineage(self.verify(self.star_pairs(rows)), "links")
+        rows = self._spanning(rows, components(star, "a", "b"))
+        return star.unionByName(cut_lineage(self.verify(self.all_pairs(rows)), "links"))
 
     def members(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
