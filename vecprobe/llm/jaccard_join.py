@@ -326,11 +326,14 @@ class JaccardJoin:
                 .mapInArrow(_verify(self.size, self.percent), "a long, b long"))
 
     def _spanning(self, rows: DataFrame, comp: DataFrame) -> DataFrame:
-        """(key, doc, n, pos, comp) of the keys that span several components."""
-        rows = cut_lineage(rows.join(comp.withColumnRenamed("id", "doc"), "doc", "left")
-                           .select("key", "doc", "n", "pos", F.coalesce("component_id", "doc").alias("comp")), "labelled")
-        span = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-        return cut_lineage(rows.join(span, "key", "left_semi"), "spanning")
+        """(key, doc, n, pos, comp) of the keys that span several components:
+        some document of such a key is not in the component of its centre."""
+        of = {c: comp.select(F.col("id").alias(c), F.col("component_id").alias(f"{c}_comp")) for c in ("doc", "center")}
+        rows = cut_lineage(rows.join(of["doc"], "doc", "left").join(of["center"], "center", "left")
+                           .select("key", "doc", "n", "pos", F.coalesce("doc_comp", "doc").alias("comp"),
+                                   F.coalesce("center_comp", "center").alias("center_comp")), "labelled")
+        span = rows.filter("comp <> center_comp").select("key").distinct()
+        return rows.join(span, "key", "left_semi").drop("center_comp")
 
     def _alike(self, n: str, m: str) -> str:
         return f"100 * least({n}, {m}) >= {self.percent} * greatest({n}, {m})"
