@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from vecprobe.llm.jaccard_join import brute_force, drop_near_duplicates, jaccard_groups
+from vecprobe.llm.jaccard_join import (brute_force, drop_near_duplicates, jaccard_groups, least_shared, prefix_length, prefix_sql,
+                                       shared_sql)
 
 
 def _run(spark, texts):
@@ -71,3 +72,33 @@ def test_drop_of_repeated_rows_alone(spark):
     t = " ".join(f"w{i}" for i in range(30))
     assert _kept(spark, [(1, t), (1, t), (2, t), (3, "x y"), (3, "x y")]) == [(1, t), (3, "x y")]
     assert _kept(spark, []) == []
+
+
+def test_ids_with_several_texts_unite_the_groups_of_all(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, b), (9, a + " more"), (3, b + " more"), (4, c), (4, c), (5, None), (5, c + " more"), (8, None)]
+    out = jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(tuple, out.collect())) == [(3, 57, 3), (4, 56, 4), (4, 56, 4), (5, 0, 4), (5, 57, 4), (7, 56, 3), (7, 56, 3),
+                                                 (8, 0, 8), (9, 57, 3)]
+
+
+def test_bounds_on_shared_prefix_shingles(spark):
+    """The SQL bounds against their definition, and against random sets under
+    random orders: similar sets share at least so many of their prefixes."""
+    sizes = [(n, m) for n in (*range(1, 30), 97, 400, 12_345) for m in range(-(-4 * n // 5), min(n + 3, 5 * n // 4) + 1)]
+    got = (spark.createDataFrame(sizes, "n long, m long")
+           .selectExpr("n", "m", f"{prefix_sql('n', 80)} AS p", f"{shared_sql('n', 'm', 80)} AS s").collect())
+    for r in got:
+        least = -(-80 * (r.n + r.m) // 180)
+        assert r.p == prefix_length(r.n, 80)
+        assert r.s == min(prefix_length(r.n, 80) - (r.n - least), prefix_length(r.m, 80) - (r.m - least))
+        assert r.s >= min(least_shared(r.n), least_shared(r.m)) >= 1
+    rnd, bound = random.Random(3), {(r.n, r.m): r.s for r in got}
+    for n, m in rnd.sample([x for x in bound if x[0] < 500], 60):
+        both = -(-80 * (n + m) // 180)
+        if both > min(n, m):
+            continue
+        order = rnd.sample(range(n + m - both), n + m - both)
+        x, y = order[:n], order[:both] + order[n:]
+        common = set(sorted(x)[:prefix_length(n, 80)]) & set(sorted(y)[:prefix_length(m, 80)])
+        assert len(common) >= bound[n, m]

@@ -265,11 +265,16 @@ class JaccardJoin:
         rank[np.lexsort((hot, df))] = np.arange(1, len(hot) + 1)
         by = np.argsort(hot)
         self.hot, self.rank = sc.broadcast(hot[by]), sc.broadcast(rank[by])
-        sets = scan.filter("doc_id is not null").select("doc_id", "n", "d1", "d2")
+        sets = self.sets = scan.filter("doc_id is not null").select("doc_id", "n", "d1", "d2")
         key = ["n", "d1", "d2"]
         rep = sets.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("cls"))
         self.classes = cut_lineage(sets.join(rep, key, "left").select("doc_id", "cls", "n"), "classes")
 
+    def ambiguous(self) -> bool:
+        """Whether some doc_id has several different sets."""
+        one = F.struct("n", "d1", "d2")
+        return not self.sets.groupBy("doc_id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo < hi").isEmpty()
+
     def postings(self) -> DataFrame:
         """Prefix postings of all orders over class representatives, as far as
         a similar document can be met by them: (key, doc, n, center, pos), with
@@ -386,9 +391,27 @@ def jaccard_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     Returns one row per input row with a doc_id: doc_id, n_shingles (0 for a
     null text or one without words), component_id (smallest doc_id reachable by
     links; itself when alone). Rows that repeat a doc_id keep a row each and
-    share that id's links. A row with a null doc_id is left out. An empty table
-    gives no rows."""
-    return JaccardJoin(docs, size, percent).members()
+    share that id's links, also where their texts differ. A row with a null
+    doc_id is left out. An empty table gives no rows. A tie of the smallest id
+    cannot occur; a text of any length is one set, held by one task."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    join = JaccardJoin(docs, size, percent)
+    return _id_groups(docs, size, percent) if join.ambiguous() else join.members()
+
+
+def _id_groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``jaccard_groups`` where a doc_id has several texts: each text is a
+    document of its own, and the components that share an id are united."""
+    keyed, _, numbered = _row_keys(docs)
+    rows = JaccardJoin(keyed.select(F.col("_row_key").alias("doc_id"), "text"), size, percent).members()
+    rows = cut_lineage(rows.join(numbered.withColumnRenamed("_row_key", "doc_id"), "doc_id", "left")
+                       .select(F.coalesce("_row_id", "doc_id").alias("id"), "n_shingles", "component_id"), "members")
+    low = rows.groupBy("id").agg(F.min("component_id").alias("low"))
+    united = components(rows.join(low, "id"), "component_id", "low").select(F.col("id").alias("part"), F.col("component_id").alias("whole"))
+    rows = (rows.join(united, F.col("component_id") == F.col("part"), "left")
+            .select("id", "n_shingles", F.coalesce("whole", "component_id").alias("whole")))
+    first = rows.groupBy("whole").agg(F.min("id").alias("component_id"))
+    return rows.join(first, "whole").select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def _row_keys(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
