@@ -89,3 +89,13 @@ def test_embedding_graph_equals_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (link[i].sum() - 1, comp[i], comp[i] == i)
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(len(x), len(rows)))
     assert near_duplicates(df.filter("false")).count() == 0
+
+
+def test_embedding_graph_keeps_doubles_and_rows_without_id(spark):
+    big, small = [[1e200, 0.0, 2e199], [1e-60, 0.0, 2e-61]], [0.0, 1e-300, 0.0]
+    rows = [(4, big[0]), (2, big[1]), (9, small), (None, big[0]), (None, None), (5, [0.0, 1e300, 0.0])]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=repr) == sorted(
+        [(4, 1, 2, False), (2, 1, 2, True), (9, 1, 5, False), (5, 1, 5, True), (None, 0, None, True), (None, 0, None, True)], key=repr)
+    alone = near_duplicates(spark.createDataFrame([(None, big[0]), (3, None)], "vec_id long, embedding array<double>")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in alone} == {(None, 0, None, True), (3, 0, 3, True)}

@@ -37,6 +37,7 @@ MEDOIDS, EXPANSIONS, AT_ONCE, SLACK = 16, 24, 4, 0.05
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)  # squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -160,6 +161,7 @@ class Items:
 
     def __init__(self, items: DataFrame, threshold: float):
         self.items, self.threshold = items, threshold
+        self.kind = items.schema["embedding"].dataType.simpleString()
         self.spark, self.n = items.sparkSession, items.count()
 
     def _groups(self, overlap: int) -> DataFrame:
@@ -184,7 +186,7 @@ class Items:
                     names=["id", "embedding", "shard"])
 
         placed = cut_lineage(self.items.select("id", "embedding").repartition("id")
-                             .mapInArrow(assign, "id long, embedding array<float>, shard long"), "shards")
+                             .mapInArrow(assign, f"id long, embedding {self.kind}, shard long"), "shards")
         blocks = placed.groupBy("shard").agg(F.when(F.count("*") <= MAX_GROUP, 1)
                                              .otherwise(F.ceil(F.count("*") / (MAX_GROUP // 2))).cast("int").alias("blocks"))
         own = F.pmod(F.xxhash64("id"), F.col("blocks"))
@@ -235,18 +237,21 @@ class Items:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """One row per row of ``vectors`` (vec_id long, embedding array of floats):
+    """One row per row of ``vectors`` (vec_id long, embedding array of numbers):
     vec_id, n_links, component_id, kept, audit_recall.
 
     Two vectors link if their cosine is >= threshold. A vector that is null,
     empty or zero, or holds a null or non-finite component, links with nothing;
     vectors of different widths never link. Rows with equal vectors link with
-    one another; rows with a null vec_id have no row; other columns are ignored;
-    an empty table gives no rows. audit_recall is the recall measured."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).filter("vec_id is not null")
+    one another. A row with a null vec_id links with nothing and is kept, its
+    component_id null; other columns are ignored; an empty table gives no rows.
+    Floats stay floats on their way, other numbers are doubles; cosines are of
+    doubles. audit_recall is the recall measured."""
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select("vec_id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     fine = F.expr("size(embedding) > 0 and forall(embedding, v -> v is not null and not isnan(v) and abs(v) < double('Infinity')) "
                   "and exists(embedding, v -> v <> 0)")
-    rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)))
+    rows = rows.withColumn("ok", F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
     key = [F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"), F.size("embedding").alias("width")]
     good = rows.filter("ok").select("vec_id", "embedding", *key)
     items = cut_lineage(good.groupBy("k1", "k2", "width").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"),
@@ -268,4 +273,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     return (out.join(info, ["k1", "k2", "width"], "left")
             .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                     F.coalesce("component_id", "vec_id").alias("component_id"))
-            .select("*", (F.col("vec_id") == F.col("component_id")).alias("kept"), F.lit(recall).alias("audit_recall")))
+            .select("*", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.lit(recall).alias("audit_recall")))
