@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from ..operators.indexing import buckets_for, dense_index, hex_bucket
 from ..session import cut_lineage
+from .columns import set_aside
 from .components import components
 from .textbuf import U, mix, shingle_sets, slices, trim
 
@@ -451,7 +452,9 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
 
     Rows that repeat a doc_id and its text are one document; rows of one doc_id
     with different texts are different ones, and so are rows without doc_id,
-    which only their text tells apart. Texts without words are like no other."""
+    which only their text tells apart. Texts without words are like no other.
+    All columns are kept, whatever their names."""
+    docs, back = set_aside(docs, "_row_key", "_row_digest", "_row_at", "_row_id")
     keyed, many, numbered = _row_keys(docs)
     member = (JaccardJoin(keyed.select(F.col("_row_key").alias("doc_id"), "text"), size, percent).members()
               .select(F.col("doc_id").alias("_row_key"), "component_id").distinct())
@@ -464,10 +467,10 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
         gone = member.join(first, "component_id").filter("_row_key <> first._row_key").select("_row_key")
     gone = cut_lineage(gone, "dropped")
     if many.isEmpty():
-        return keyed.join(gone, "_row_key", "left_anti").select(*docs.columns)
+        return back(keyed.join(gone, "_row_key", "left_anti").select(*docs.columns))
     once = keyed.join(gone.unionByName(many), "_row_key", "left_anti")
     one_of_many = keyed.join(many.join(gone, "_row_key", "left_anti"), "_row_key", "left_semi").dropDuplicates(["_row_key"])
-    return once.unionByName(one_of_many).select(*docs.columns)
+    return back(once.unionByName(one_of_many).select(*docs.columns))
 
 
 def brute_force(texts: dict[int, str | None], size: int = 5, percent: int = 80) -> dict[int, tuple[int, int]]:

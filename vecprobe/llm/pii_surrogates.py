@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .columns import set_aside
 
 # Titles by the gender they tell, and given names that mark a name without title.
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Господин"]
@@ -254,8 +255,12 @@ def replace_pii(docs: DataFrame, key: str, count_as: str | None = None) -> DataF
     ``count_as`` a column of how many.
 
     A null text stays null and an empty one empty; texts without entities stay
-    as they are. All other columns and repeated rows are kept; an empty table
-    gives no rows. Another ``key`` gives other surrogates."""
+    as they are. A text of any length is searched whole, in one task; where two
+    patterns match at a place, the first listed wins. All other columns, whatever
+    their names, and repeated rows are kept (one named as ``count_as`` is
+    replaced); an empty table gives no rows. Another ``key`` gives other
+    surrogates."""
+    docs, back = set_aside(docs, "_found", "_moved", "_text")
     found = find_entities(docs)
     moved = moved_entities(found.select("_found"), key)
     attempt = lambda kind, normal: F.lit(0)
@@ -272,4 +277,4 @@ def replace_pii(docs: DataFrame, key: str, count_as: str | None = None) -> DataF
     out = found.withColumn("text", F.when(F.size("_found") > 0, F.array_join(mixed, "")).otherwise(F.col("text")))
     if count_as:
         out = out.withColumn(count_as, F.size("_found"))
-    return out.drop("_found", "_moved")
+    return back(out.drop("_found", "_moved"))
