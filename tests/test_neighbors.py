@@ -112,3 +112,37 @@ def test_bucketed_dense_index_equals_row_number(spark):
     c = dense_index(d2, ["id"], ["g"], "idx", b)
     ref2 = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1)
     assert c.join(ref2, ["g", "id"]).filter(F.col("idx") != F.col("r")).count() == 0
+
+
+def test_blocks_are_written_once_and_searched_whole(spark):
+    """A block is not shuffled once per block of the other side, and each group
+    is cut by its own size (before: every group by the size of all)."""
+    from pyspark.sql.functions import lit
+    from vecprobe.operators.neighbors import block_counts, blocked_best, write_blocks
+    rng = np.random.default_rng(4)
+    vecs = rng.normal(size=(120, 4)).round(1)
+    vecs[60:80] = vecs[40:60] * 2  # ties beyond a block
+    rows = [(int(i >= 100), i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, "g int, item long, _v array<double>")
+    counts = block_counts(df, ["g"], 10)
+    assert {r.g: r._nb for r in counts.collect()} == {0: 10, 1: 2}
+    assert spark.read.parquet(write_blocks(df, ["g"], counts)).count() == 120
+    out = blocked_best(df, df, ["g"], df.schema["item"].dataType, counts, counts, True, skip_zero=True)
+    got = {(r.g, r.item, r.nn_item) for r in out.collect()}
+    u = vecs / (np.linalg.norm(vecs, axis=1, keepdims=True) + 1e-9)
+    s = np.round(u @ u.T, 9)
+    same = (np.arange(120) >= 100)[:, None] == (np.arange(120) >= 100)[None, :]
+    s[~same | np.eye(120, dtype=bool)] = -np.inf
+    want = {(int(i >= 100), int(i), int(j)) for i, j in zip(*np.nonzero(s == s.max(1, keepdims=True)), strict=True)}
+    assert got == want and out.select(lit(1)).count() == len(want)
+
+
+def test_sparse_scores_equal_the_dense_product():
+    import pyarrow as pa
+    from vecprobe.operators.neighbors import _load_sparse, sparse_block_scores
+    rng = np.random.default_rng(5)
+    sides = [np.where(rng.random((n, 60)) < np.linspace(0.02, 0.9, 60), rng.random((n, 60)), 0) for n in (30, 41)]
+    blocks = [_load_sparse(pa.table({"e": pa.array([[{"tid": int(t), "w": float(x[t])} for t in np.flatnonzero(x)] for x in m],
+                                                   pa.list_(pa.struct([("tid", pa.int64()), ("w", pa.float64())])))})) for m in sides]
+    for factor in (1e-9, 3.0, 1e9):  # all rare, both, all frequent
+        assert np.allclose(sparse_block_scores(*blocks, dense_factor=factor, cells=50), sides[0] @ sides[1].T)
