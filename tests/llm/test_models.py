@@ -99,3 +99,19 @@ def test_embedding_graph_keeps_doubles_and_rows_without_id(spark):
         [(4, 1, 2, False), (2, 1, 2, True), (9, 1, 5, False), (5, 1, 5, True), (None, 0, None, True), (None, 0, None, True)], key=repr)
     alone = near_duplicates(spark.createDataFrame([(None, big[0]), (3, None)], "vec_id long, embedding array<double>")).collect()
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in alone} == {(None, 0, None, True), (3, 0, 3, True)}
+
+
+def test_ranker_learns_from_every_labelled_row(spark):
+    """Before, pairs and cut came from a draw of rows."""
+    from vecprobe.llm.quality_ranker import best_cut, labelled_pairs
+    rnd = np.random.default_rng(8)
+    y = rnd.random(700) < 0.8
+    rows = spark.createDataFrame([(i, int(q), [float(i)] if q else [-10000.0 * i - 10000]) for i, q in enumerate(y)], "doc_id long, quality int, x array<double>")
+    count = {1: int(y.sum()), 0: int((~y).sum())}
+    d = [int(r.d[0]) for r in labelled_pairs(rows, count).collect()]
+    assert {v % 10000 for v in d} == set(np.flatnonzero(y)) and {v // 10000 - 1 for v in d} == set(np.flatnonzero(~y))
+    assert len(d) == len(set(d)) >= 60_000
+    s = np.round(rnd.normal(size=700) + y, 1)
+    cut = best_cut(spark.createDataFrame([(float(a), int(b)) for a, b in zip(s, y, strict=True)], "s double, quality int"))
+    gain = lambda c: ((s < c) & ~y).sum() - ((s < c) & y).sum()
+    assert gain(cut) == max(gain(c) for c in [s.min() - 1, *(np.unique(s) + 0.05)])

@@ -3,24 +3,24 @@
 Each whole text is described by a few measures of its characters, words and
 lines. A preferred and a rejected document form a pair; the weights minimise
 the logistic loss on the pair's feature difference. Measures are standardised
-over all documents; the pairs come from at most about ``PER_CLASS`` labelled
-rows of each class, drawn by a hash of the id. The cut between the classes is
-a quantile of the scores, and scores are mapped so that it lies at ``CUT``."""
+over all documents; every labelled row is in a pair. The cut between the
+classes is a quantile of the scores of all labelled rows, and scores are mapped
+so that it lies at ``CUT``."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.indexing import buckets_for, dense_index, hex_bucket
 from ..session import cut_lineage
 from .bpe import LETTER, NUMBER, char_classes, code_points
 from .columns import set_aside
 from .textbuf import Slice, SpanHash, text_batches, words
 
-#: Expected labelled rows of each class that the pairs are drawn from.
-PER_CLASS = 6000
+#: Pairs at least, while the classes have as many.
 PAIRS, STEPS, RIDGE = 60_000, 60, 1e-3
 CUT = 0.3
 MEASURES = ["letters", "upper", "digits", "spaces", "marks", "symbols", "bangs", "bars", "word_len", "log_words",
@@ -99,18 +99,80 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, seed: int = 11) -> np.ndarray:
         return np.zeros(len(MEASURES))
     rnd = np.random.default_rng(seed)
     d = good[rnd.integers(len(good), size=PAIRS)] - bad[rnd.integers(len(bad), size=PAIRS)]
-    w = np.zeros(d.shape[1])
+    return newton(lambda w: (*pair_sums(d, w), len(d)), d.shape[1])
+
+
+def pair_sums(d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature, summed over pairs of feature difference ``d``."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
+    return -(d * p[:, None]).sum(0), (d * (p * (1 - p))[:, None]).T @ d
+
+
+def newton(sums, width: int) -> np.ndarray:
+    """Newton steps; ``sums(w)`` gives gradient, curvature and number of pairs."""
+    w = np.zeros(width)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
-        g = -(d * p[:, None]).mean(0) + RIDGE * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(hess, g)
+        g, hess, n = sums(w)
+        step = np.linalg.solve(hess / n + RIDGE * np.eye(width), g / n + RIDGE * w)
         w -= step * min(1.0, 5 / max(np.linalg.norm(step), 1e-12))
         if np.abs(step).max() < 1e-9:
             break
     return w
 
 
+def labelled_pairs(rows: DataFrame, count: dict) -> DataFrame:
+    """``d``: differences of ``x``, good less bad. Each row of the larger class is
+    paired with rows of the smaller one by their ranks in the order of a hash,
+    as often as it takes for PAIRS pairs; so every labelled row is in a pair."""
+    many = int(count[1] >= count[0])
+    n_many, n_few = count[many], count[1 - many]
+    times = min(n_few, -(-PAIRS // n_many))
+    h = rows.withColumn("_h", F.md5(F.col("doc_id").cast("string")))
+    ranked = dense_index(h, ["_h", "doc_id", "x"], ["quality"], "_rank", hex_bucket("_h", buckets_for(n_many + n_few)))
+    a = ranked.filter(F.col("quality") == many).select(
+        F.col("x").alias("_a"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(times - 1)), lambda k: F.pmod(F.col("_rank") + k, F.lit(n_few)))).alias("_rank"))
+    b = ranked.filter(F.col("quality") == 1 - many).select("_rank", F.col("x").alias("_b"))
+    good, bad = ("_a", "_b") if many else ("_b", "_a")
+    return a.join(b, "_rank").select(F.zip_with(good, bad, lambda x, y: x - y).alias("d"))
+
+
+def fit_table(pairs: DataFrame, std: np.ndarray) -> np.ndarray:
+    """Weights of standardised differences; a step is one job over all pairs."""
+    width = len(std)
+
+    def sums(w):
+        def run(batches):
+            g, h, n = np.zeros(width), np.zeros((width, width)), 0
+            for b in batches:
+                d = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) / std
+                own = pair_sums(d, w)
+                g, h, n = g + own[0], h + own[1], n + len(d)
+            yield pa.RecordBatch.from_pydict({"s": [[*g, *h.ravel(), float(n)]]}, pa.schema([("s", pa.list_(pa.float64()))]))
+
+        total = np.sum([r.s for r in pairs.mapInArrow(run, "s array<double>").collect()], axis=0)
+        return total[:width], total[width:-1].reshape(width, width), total[-1]
+
+    return newton(sums, width)
+
+
+def best_cut(scored: DataFrame) -> float:
+    """The cut of (s, quality) that rejects most: right rejections less wrong
+    ones, summed over all rows in the order of s."""
+    per = cut_lineage(scored.groupBy("s").agg(F.sum(F.lit(1) - 2 * F.col("quality")).alias("gain")), "scores")
+    lo, hi, n = per.agg(F.min("s"), F.max("s"), F.count("s")).first()
+    nb = buckets_for(n)
+    bucket = F.floor((F.col("s") - F.lit(lo)) * F.lit(nb) / F.lit((hi - lo) * (1 + 1e-9) or 1.0))
+    d = per.withColumn("_b", bucket)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = d.groupBy("_b").agg(F.sum("gain").alias("_g")).select("_b", F.coalesce(F.sum("_g").over(before), F.lit(0)).alias("_off"))
+    run = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = d.withColumn("_own", F.sum("gain").over(run)).join(off, "_b").withColumn("total", F.col("_off") + F.col("_own"))
+    top = ranked.agg(F.max(F.struct("total", -F.col("s"))).alias("t")).select("t.*").first()
+    at = -top[1]
+    after = per.filter(F.col("s") > F.lit(at)).agg(F.min("s")).first()[0]
+    return lo - 1.0 if top[0] <= 0 or after is None else (at + after) / 2
+
+
 class Ranker:
     def __init__(self, mean, std, w, cut: float, slope: float):
         self.mean, self.std, self.w, self.cut, self.slope = mean, std, w, cut, slope
@@ -124,29 +186,22 @@ class Ranker:
         mean, std = stat[:len(MEASURES)], stat[len(MEASURES):]
         std = np.where(std > 1e-9, std, 1.0)
         known = labels.select("doc_id", "quality").filter("doc_id is not null and quality in (0, 1)").filter(learn).distinct()
-        count = {r.quality: r.n for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-        draw = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-        share = F.when(F.col("quality") == 1, PER_CLASS / max(count.get(1, 0), 1)).otherwise(PER_CLASS / max(count.get(0, 0), 1))
-        rows = table.join(known.filter(draw < share), "doc_id").select("doc_id", "quality", "x").toPandas()
-        if not len(rows):
+        rows = cut_lineage(table.join(known, "doc_id").select("doc_id", "quality", "x"), "labelled")
+        count = {r.quality: r.n for r in rows.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+        if not count:
             return cls(mean, std, np.zeros(len(MEASURES)), 0.0, 1.0)
-        rows = rows.sort_values(["doc_id", "quality"], kind="stable")
-        x = (np.array(rows.x.tolist()) - mean) / std
-        y = rows.quality.to_numpy() == 1
-        w = fit_pairs(x[y], x[~y])
-        s = x @ w
-        # each row stands for as many as its class was thinned by
-        weight = np.where(y, count.get(1, 0) / max(y.sum(), 1), count.get(0, 0) / max((~y).sum(), 1))
-        by = np.argsort(s, kind="stable")
-        good, bad = np.cumsum((weight * y)[by]), np.cumsum((weight * ~y)[by])
-        gain = bad - good  # right rejections less wrong ones, by quantile
-        k = int(gain.argmax())
-        if gain[k] <= 0 or k + 1 == len(s):
-            cut = s.min() - 1.0
-        else:
-            cut = (s[by[k]] + s[by[k + 1]]) / 2
+        w = fit_table(cut_lineage(labelled_pairs(rows, count), "pairs"), std) if len(count) == 2 else np.zeros(len(MEASURES))
+        # all labelled rows decide the cut
+        cut = best_cut(rows.select(cls(mean, std, w, 0.0, 1.0).linear(F.col("x")).alias("s"), "quality"))
         return cls(mean, std, w, float(cut), 1.0)
 
+    def linear(self, x: Column) -> Column:
+        """Weighted sum of the standardised measures."""
+        total = F.lit(0.0)
+        for i, (m, sd, w) in enumerate(zip(self.mean, self.std, self.w, strict=True)):
+            total = total + (x[i] - F.lit(float(m))) * F.lit(float(w / sd))
+        return total
+
     def score(self, x: Column) -> Column:
         """Score in 0 to 1; CUT at the threshold quantile."""
         total = F.lit(float(np.log(CUT / (1 - CUT)) - self.slope * self.cut))
