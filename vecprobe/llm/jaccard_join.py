@@ -52,10 +52,12 @@ ORDERS = 2
 HOT = 1 << 19
 #: A prefix has one more shingle for each so many shingles of a set.
 SHARED_PART = 40
-#: Documents of a batch whose shingles are counted together.
-COUNTED = 4000
+#: Documents of a batch whose shingles are counted together, and posted together.
+COUNTED, POSTED = 4000, 1000
 #: Partners that one task verifies against one copy of a centre's set.
 PARTNERS = 2_000
+#: Texts are shingled in slices of so many bytes.
+SHINGLED_BYTES = 1 << 19
 FILTER_WORDS = 1 << 14  # 64-bit words of the filter of candidate documents (128 KB)
 _SALT = mix(np.arange(101, 101 + ORDERS, dtype=U))
 
@@ -82,6 +84,13 @@ def shared_sql(n: str, m: str, percent: int) -> str:
     return f"least({prefix_sql(n, percent)} - {n}, {prefix_sql(m, percent)} - {m}) + {common}"
 
 
+def parts_of(batches, rows: int):
+    """The batches in parts of at most so many rows."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def _digest(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(h + _SALT[k]).sum(dtype=U).view(np.int64)) for k in (0, 1))
 
@@ -109,9 +118,9 @@ def _scan(size: int):
                         ("shingle", pa.int64()), ("df", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in parts_of(batches, COUNTED):
             ids, rows, seen = b.column("doc_id"), [], []
-            for s in slices(b.column("text")):
+            for s in slices(b.column("text"), SHINGLED_BYTES):
                 for i, h in enumerate(shingle_sets(s, size)):
                     rows.append((ids[s.start + i].as_py(), len(h), *_digest(h)))
                     seen.append(h)
@@ -120,10 +129,8 @@ def _scan(size: int):
             c = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
             none = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([*c, none, none], schema=schema)
-            for at in range(0, len(seen), COUNTED):
-                all_ = np.sort(np.concatenate(seen[at:at + COUNTED]))
-                if not len(all_):
-                    continue
+            all_ = np.sort(np.concatenate(seen))
+            if len(all_):
                 head = np.flatnonzero(np.r_[True, all_[1:] != all_[:-1]])
                 df = np.diff(np.r_[head, len(all_)])
                 # a shingle that occurs once here waits its turn in hash order
@@ -132,7 +139,7 @@ def _scan(size: int):
                 none = pa.nulls(len(often), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [none, none, none, none, pa.array(all_[head[often]].view(np.int64)), pa.array(df[often])], schema=schema)
-            del seen
+            del seen, all_
             trim()
 
     return run
@@ -142,10 +149,10 @@ def _post(size: int, percent: int, hot, rank):
     schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("center", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in parts_of(batches, POSTED):
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             keys, size_of, least = [], [], {}
-            for s in slices(b.column("text")):
+            for s in slices(b.column("text"), SHINGLED_BYTES):
                 for i, h in enumerate(shingle_sets(s, size)):
                     if not len(h):
                         continue
@@ -219,7 +226,7 @@ def _verify(size: int, percent: int):
             center, salt = b.column("center").to_numpy(), b.column("salt").to_numpy()
             role, doc = b.column("role").to_numpy(), b.column("doc").to_numpy()
             pairs = []
-            for s in slices(b.column("text")):
+            for s in slices(b.column("text"), SHINGLED_BYTES):
                 for i, h in enumerate(shingle_sets(s, size), s.start):
                     if role[i] == 0:
                         at, mine = (center[i], salt[i]), h

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .bpe import worker_encoder
-from .textbuf import text_batches
+from .textbuf import text_batches, trim
 
 SHARD, ISLANDS, EPOCHS, POOL = 4096, 2, 2, 64
 POPULATION, CHILDREN = 4, 12
 WELL_FILLED, BADLY_FILLED = 0.995, 0.97
+#: Texts are encoded in slices of so many bytes.
+ENCODED_BYTES = 1 << 19
 
 
 class Bins:
@@ -164,7 +166,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> Dat
 
     def run(batches):
         enc = worker_encoder(path)
-        for b, s in text_batches(batches):
+        for b, s in text_batches(batches, ENCODED_BYTES):
             ids, at = enc.encode(s)
             rows, piece, start, length, crc = [], [], [], [], []
             for i in range(len(s)):
@@ -180,6 +182,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int = 0) -> Dat
                 [b.column("doc_id").take(pa.array(rows)), pa.array(piece, pa.int32()),
                  *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -18,10 +18,12 @@ from ..operators.indexing import buckets_for, dense_index, hex_bucket
 from ..session import cut_lineage
 from .bpe import LETTER, NUMBER, char_classes, code_points
 from .columns import set_aside
-from .textbuf import Slice, SpanHash, text_batches, words
+from .textbuf import Slice, SpanHash, text_batches, trim, words
 
 #: Pairs at least, while the classes have as many.
 PAIRS, STEPS, RIDGE = 60_000, 60, 1e-3
+#: Texts are measured in slices of so many bytes.
+MEASURED_BYTES = 1 << 18
 CUT = 0.3
 MEASURES = ["letters", "upper", "digits", "spaces", "marks", "symbols", "bangs", "bars", "word_len", "log_words",
             "distinct", "repeats", "top_word", "odd_words", "line_len", "stops", "distinct_bends", "case_bends"]
@@ -79,10 +81,11 @@ def with_measures(docs: DataFrame, name: str = "x") -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField(name, ArrayType(DoubleType()))])
 
     def run(batches):
-        for b, s in text_batches(batches):
+        for b, s in text_batches(batches, MEASURED_BYTES):
             x = measures(s)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * len(MEASURES)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*b.slice(s.start, len(s)).columns, lists], names=schema.names)
+        trim()
 
     return docs.mapInArrow(run, schema)
 
