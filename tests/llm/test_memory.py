@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from vecprobe.llm import jaccard_join, quality_ranker
+from pyspark.sql import functions as F
+from vecprobe.llm import jaccard_join, language_id, quality_ranker
 
 NONE = SimpleNamespace(value=np.empty(0, np.uint64))
 
@@ -49,3 +50,32 @@ def test_memory_beside_a_batch_of_ten_thousand_texts(name, limit):
     high = peak(run, batch(10_000))
     print(f"{name}: {high:.0f} MB")
     assert high < limit
+
+
+def driver_peak(work) -> float:
+    tracemalloc.start()
+    work()
+    high = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return high / 1e6
+
+
+def test_frequent_shingles_reach_the_driver_as_columns(spark):
+    b = batch(400)
+    docs = spark.createDataFrame(pa.Table.from_batches([b, b.set_column(0, "doc_id", pa.array(range(400, 800), pa.int64()))])).coalesce(1)
+    jaccard_join.JaccardJoin(docs.limit(10))  # what any join loads
+    high = driver_peak(lambda: jaccard_join.JaccardJoin(docs))
+    print(f"shingles: {high:.0f} MB")
+    assert high < 12
+
+
+def test_language_sample_reaches_the_driver_as_columns(spark):
+    rnd = np.random.default_rng(5)
+    text = ["".join(map(chr, rnd.integers(0x4E00, 0x9F00, size=1000))) for _ in range(400)]
+    docs = spark.createDataFrame(pa.table({"doc_id": pa.array(range(400), pa.int64()), "text": text, "lang": ["en", "de"] * 200})).coalesce(2)
+    train = lambda d: language_id.Model.train(d, F.lit(True), F.col("doc_id") % 4 == 3)
+    train(docs.limit(10))
+    got = []
+    high = driver_peak(lambda: got.append(train(docs)))
+    print(f"language: {high:.0f} MB")
+    assert got[0].langs == ["de", "en"] and high < 30

@@ -267,12 +267,14 @@ class JaccardJoin:
             _scan(size), "doc_id long, n long, d1 long, d2 long, shingle long, df long"), "shingles")
         shared = cut_lineage(scan.filter("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df"))
                              .withColumn("level", F.floor(8 * F.log2("df")).cast("int")), "frequencies")
-        top = shared.filter(F.col("level") >= _hot_level(shared)).select("shingle", "df").toPandas()
-        df, hot = top["df"].to_numpy(dtype=np.int64), top["shingle"].to_numpy(dtype=np.int64).view(U)
+        top = shared.filter(F.col("level") >= _hot_level(shared)).select("shingle", "df").toArrow()
+        df, hot = top.column("df").to_numpy(), top.column("shingle").to_numpy().view(U)
         rank = np.empty(len(hot), np.uint32)  # the more frequent, the later
         rank[np.lexsort((hot, df))] = np.arange(1, len(hot) + 1)
         by = np.argsort(hot)
         self.hot, self.rank = sc.broadcast(hot[by]), sc.broadcast(rank[by])
+        del top, df, hot, rank, by
+        trim()  # on the driver
         sets = self.sets = scan.filter("doc_id is not null").select("doc_id", "n", "d1", "d2")
         key = ["n", "d1", "d2"]
         rep = sets.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("cls"))

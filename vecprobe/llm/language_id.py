@@ -14,6 +14,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,31 +155,40 @@ class Model:
         spark = docs.sparkSession
         rows = docs.select("doc_id", "text", "lang", tune.alias("tune"), learn.alias("learn")).filter("learn and lang is not null")
         per = rows.groupBy("lang").agg(F.count("*").alias("of_lang"))
+        # Arrow tables: rows that are collected as objects take many times their size in both of the driver's processes
         df = (rows.select("text").mapInArrow(_document_counts, "feature long, n long")
-              .groupBy("feature").agg(F.sum("n").alias("n")).toPandas())
+              .groupBy("feature").agg(F.sum("n").alias("n")).toArrow())
+        feature, n = (df.column(c).to_numpy() for c in ("feature", "n"))
         share = F.lit(float(PER_LANGUAGE)) / F.col("of_lang")
         draw = F.pmod(F.xxhash64(F.lit("language-id"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
         per = cut_lineage(per, "languages")
         if per.count() <= LANGUAGES:  # else the texts are joined by language
             per = F.broadcast(per)
         sample = cut_lineage(rows.drop("learn").join(per, "lang").filter(draw < share).drop("of_lang"), "sample")
-        sample = sample.mapInArrow(_sparse_rows, "doc_id long, lang string, tune boolean, idx binary, val binary").toPandas()
+        sample = sample.mapInArrow(_sparse_rows, "doc_id long, lang string, tune boolean, idx binary, val binary").toArrow()
         if not len(sample):
             return cls([], np.zeros((DIMS, 0), np.float32))
-        total = int(df.loc[df.feature == -1, "n"].sum())
+        total = int(n[feature == -1].sum())
         count = np.zeros(DIMS)
-        count[df.feature[df.feature >= 0]] = df.n[df.feature >= 0]
-        idf = np.log((1 + total) / (1 + count)) + 1
-        langs = sorted(sample.lang.unique())
-        sample = sample.sort_values(["doc_id", "lang"], kind="stable")
-        data = []
-        for f, v, lang, held in zip(sample.idx, sample.val, sample.lang, sample.tune, strict=True):
-            f = np.frombuffer(f, np.int32)
-            data.append((f, np.frombuffer(v, np.float32) * idf[f], langs.index(lang), bool(held)))
-        w = fit([d[:3] for d in data if not d[3]] or [d[:3] for d in data], len(langs))
-        held = [d for d in data if d[3]]
-        t = temperature(np.array([v @ w[f] for f, v, _, _ in held]).reshape(len(held), len(langs)), np.array([d[2] for d in held], int))
-        return cls(langs, (w * idf[:, None] * (SCALE / t)).astype(np.float32))
+        count[feature[feature >= 0]] = n[feature >= 0]
+        langs, table = _fitted(sample, np.log((1 + total) / (1 + count)) + 1)
+        del sample
+        trim()
+        return cls(langs, table)
+
+
+def _fitted(sample: pa.Table, idf: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Languages and calibrated table of the sampled rows (see ``_sparse_rows``)."""
+    lang, tune, idx, val = (sample.column(c) for c in ("lang", "tune", "idx", "val"))
+    langs = sorted(pc.unique(lang).to_pylist())
+    data = []
+    for i in pc.sort_indices(sample.select(["doc_id", "lang"]), [("doc_id", "ascending"), ("lang", "ascending")]).to_pylist():
+        f, v = np.frombuffer(idx[i].as_buffer(), np.int32), np.frombuffer(val[i].as_buffer(), np.float32)
+        data.append((f, v * idf[f], langs.index(lang[i].as_py()), bool(tune[i].as_py())))
+    w = fit([d[:3] for d in data if not d[3]] or [d[:3] for d in data], len(langs))
+    held = [d for d in data if d[3]]
+    t = temperature(np.array([v @ w[f] for f, v, _, _ in held]).reshape(len(held), len(langs)), np.array([d[2] for d in held], int))
+    return langs, (w * idf[:, None] * (SCALE / t)).astype(np.float32)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
