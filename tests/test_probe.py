@@ -3,9 +3,11 @@
 import hashlib
 import math
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from vecprobe.operators.probe import grouped_probe_cv, linear_probe_cv
 from vecprobe.plans.report_evals import select_layer_flags
 
@@ -65,3 +67,22 @@ def test_select_layer_prefers_the_probe_among_candidates(spark):
     pick = lambda d, c: [r.layer for r in select_layer_flags(d, c).filter("recommended").collect()]
     assert pick(df, "probe_cv") == [1] and pick(df, None) == [2]
     assert pick(df.withColumn("probe_cv", F.lit(None).cast("double")), "probe_cv") == [2]
+
+
+def test_select_layer_runs_the_probe(spark, tmp_path):
+    # two layers whose neighbours are all right; the one nearer to mid-depth is
+    # not linear (each document sits on both sides of the origin)
+    rnd, rows = np.random.default_rng(2), []
+    for i in range(80):
+        doc, side = i % 4, 1 if i // 4 % 2 else -1
+        linear = np.eye(4)[doc]
+        angle = math.pi * doc / 4 + 0.01 * rnd.normal()
+        folded = side * np.array([math.cos(angle), math.sin(angle), 0, 0])
+        vec = np.concatenate([linear + 0.01 * rnd.normal(size=4), rnd.normal(size=4), folded, rnd.normal(size=4)])
+        rows.append((i, vec.tolist()))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [tuple(r) for r in E.queries()["select_layer"](spark, str(tmp_path)).collect()]
+    assert got == [(0, 1.0, True)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert con.sql(E.oracle_sql()["select_layer"]).fetchall() == got
